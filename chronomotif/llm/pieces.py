@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import table, tokenizer_path
+from chronomotif.llm.common import share_package, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -180,6 +180,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only (columns ``ids_sha256`` and ``decoded_sha256``).
     """
     path = model or tokenizer_path(MODEL)
+    share_package(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_text else ""
 
