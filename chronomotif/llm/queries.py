@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronomotif.llm.chats import op8_chat_formatting
 from chronomotif.llm.mixing import op4_mixing
 from chronomotif.llm.pieces import op1_sentencepiece
+from chronomotif.llm.secrets import op2_secrets
 from chronomotif.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
