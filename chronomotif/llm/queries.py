@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronomotif.llm.chats import op8_chat_formatting
+from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.mixing import op4_mixing
 from chronomotif.llm.pieces import op1_sentencepiece
 from chronomotif.llm.secrets import op2_secrets
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
