@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronomotif.llm.chats import op8_chat_formatting
 from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.mixing import op4_mixing
+from chronomotif.llm.ngram_join import op3_ngram_join
 from chronomotif.llm.pieces import op1_sentencepiece
 from chronomotif.llm.secrets import op2_secrets
 from chronomotif.llm.token_counts import op7_token_counts
@@ -16,6 +17,7 @@ from chronomotif.llm.token_counts import op7_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
