@@ -11,14 +11,18 @@ from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.mixing import op4_mixing
 from chronomotif.llm.ngram_join import op3_ngram_join
 from chronomotif.llm.pieces import op1_sentencepiece
+from chronomotif.llm.quality import op6_quality
 from chronomotif.llm.secrets import op2_secrets
 from chronomotif.llm.token_counts import op7_token_counts
+from chronomotif.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_fingerprints": op10_fingerprints,
