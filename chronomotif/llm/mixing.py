@@ -10,7 +10,7 @@ budget always takes a superset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronomotif.llm.common import materialize, table
@@ -98,6 +98,30 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "times", F.col("low").alias("cut"), tie.alias("tie"))
 
 
+def _hash(id_col: str, text_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
+
+
+def _with_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (``source, h``) with ``times``, by the table of cuts, which is sent to every task if it is small."""
+    cuts = cuts.withColumnRenamed("source", "of")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    once_more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("tie"))
+    times = F.least(F.col("times") + F.when(once_more, 1).otherwise(0), F.lit(MOST))
+    return rows.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", times)
+
+
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    small = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), _hash(id_col, text_col).alias("h"))
+    return materialize(small, "mix-sizes")
+
+
+def source_cuts(sized: DataFrame) -> DataFrame:
+    return thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken, times`` for every row of ``df``.
 
@@ -107,25 +131,17 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     null ids and repeated rows have a row each, equal rows being taken alike;
     an empty table gives an empty result. Other columns are not read.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(
-        df.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            size.alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1).alias("h"),
-        ),
-        "mix-sizes",
-    )
-    cuts = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    cuts = cuts.withColumnRenamed("source", "of")
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
-    once_more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("tie"))
-    times = F.least(F.col("times") + F.when(once_more, 1).otherwise(0), F.lit(MOST))
-    return sized.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times")
-    )
+    sized = _sizes(df, id_col, text_col, source_col)
+    mixed = _with_times(sized, source_cuts(sized))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``df`` as often as it is taken, with its columns."""
+    cuts = source_cuts(_sizes(df, id_col, text_col, source_col)).select("source", "times", "cut", "tie")
+    rows = df.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), _hash(id_col, text_col).alias("h"))
+    taken = _with_times(rows, cuts).filter("times > 0").withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
