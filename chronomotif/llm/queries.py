@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronomotif.llm.chats import op8_chat_formatting
 from chronomotif.llm.fingerprints import op10_fingerprints
+from chronomotif.llm.media import op9_media
 from chronomotif.llm.mixing import op4_mixing
 from chronomotif.llm.ngram_join import op3_ngram_join
 from chronomotif.llm.pieces import op1_sentencepiece
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_media": op9_media,
     "op10_fingerprints": op10_fingerprints,
 }
 
