@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from chronomotif.llm.common import materialize, shuffle_partitions, table, text_or_empty
 
 #: The first words are cut finely, so that short texts have pieces too: words in all, words a piece.
-HEAD_WORDS, HEAD_PIECE = 16, 2
+HEAD_WORDS, HEAD_PIECE = 24, 2
 #: Words of a piece of a line.
-PIECE = 16
+PIECE = 24
 #: Cells of the fingerprint itself, and of the tables that follow: each of the latter for some three digests.
 BASE_CELLS = 24
-CELLS = (12, 24, 48, 96)
+CELLS = (12, 24, 48)
 DIGESTS_PER_TABLE = 3
 #: Where the bits for the three cells and for the table begin; below are 16 for the length.
 CELL_BITS_AT, TABLE_BITS_AT, MOST_TABLE_BITS = 16, 44, 20
@@ -52,23 +52,34 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1))
 
 
+def _mask(key: Column, cells: int) -> Column:
+    """The three cells of a digest as bits."""
+    each = cells // 3
+    bits = each.bit_length() - 1
+    place = lambda i: F.shiftrightunsigned(key, CELL_BITS_AT + bits * i).bitwiseAND(F.lit(each - 1)).cast("int") + each * i
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), place(i))
+    return one(0).bitwiseOR(one(1)).bitwiseOR(one(2))
+
+
+def entries(keys: Column, cells: int) -> Column:
+    """Digests with their check sums and cells, computed once."""
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), _mask(k, cells).alias("mask")))
+
+
 def _empty(cells: int) -> Column:
     zero = F.lit(0).cast("long")
     return F.array_repeat(F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("check")), cells)
 
 
-def _add(table_: Column, key: Column, times: Column, cells: int) -> Column:
-    """The table with a digest put in so many times, or taken out."""
-    each = cells // 3
-    bits = each.bit_length() - 1
-    places = [F.shiftrightunsigned(key, CELL_BITS_AT + bits * i).bitwiseAND(F.lit(each - 1)).cast("int") + each * i for i in range(3)]
-    here = lambda j: (j == places[0]) | (j == places[1]) | (j == places[2])
-    put = lambda c: F.struct((c["n"] + times).alias("n"), c["key"].bitwiseXOR(key).alias("key"), c["check"].bitwiseXOR(_check(key)).alias("check"))
+def _add(table_: Column, e: Column, times: Column) -> Column:
+    """The table with an entry put in so many times, or taken out."""
+    put = lambda c: F.struct((c["n"] + times).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["check"].bitwiseXOR(e["check"]).alias("check"))
+    here = lambda j: F.call_function("shiftright", e["mask"], j).bitwiseAND(F.lit(1)) == 1
     return F.transform(table_, lambda c, j: F.when(here(j), put(c)).otherwise(c))
 
 
 def build(keys: Column, cells: int) -> Column:
-    return F.aggregate(keys, _empty(cells), lambda t, k: _add(t, k, F.lit(1), cells))
+    return F.aggregate(entries(keys, cells), _empty(cells), lambda t, e: _add(t, e, F.lit(1)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -85,11 +96,13 @@ def peel(difference: Column, cells: int) -> Column:
 
     def step(a: Column, _: Column) -> Column:
         def take(c: Column) -> Column:
-            return F.when(c.isNull(), F.struct(a["t"].alias("t"), a["found"].alias("found"), F.lit(True).alias("over"))).otherwise(
-                F.struct(_add(a["t"], c["key"], -c["n"], cells).alias("t"), F.concat(a["found"], F.array(c["key"])).alias("found"), F.lit(False).alias("over"))
-            )
+            out = F.struct(_add(a["t"], c, -c["n"]).alias("t"), F.concat(a["found"], F.array(c["key"])).alias("found"), F.lit(False).alias("over"))
+            return F.when(c["key"].isNull(), F.struct(a["t"].alias("t"), a["found"].alias("found"), F.lit(True).alias("over"))).otherwise(out)
 
-        return F.when(a["over"], a).otherwise(F.get(F.transform(F.array(F.get(F.filter(a["t"], alone), F.lit(0))), take), F.lit(0)))
+        first = F.transform(
+            F.array(F.get(F.filter(a["t"], alone), F.lit(0))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"), _mask(c["key"], cells).alias("mask"))
+        )
+        return F.when(a["over"], a).otherwise(F.get(F.transform(first, take), F.lit(0)))
 
     begin = F.struct(difference.alias("t"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("over"))
     clean = lambda a: ~F.exists(a["t"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
@@ -113,7 +126,7 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
     def small(x: Column, y: Column) -> Column:
         tries = [peel(subtract(build(x, n), build(y, n)), n) for n in CELLS]
-        # Once in some billions: equal cells for two digests in every size of table.
+        # Two digests with equal cells in every size of table, which no peeling parts: an exact comparison of the few in it.
         last = F.concat(F.array_except(x, y), F.array_except(y, x))
         return F.when(x == y, F.array().cast("array<bigint>")).otherwise(F.coalesce(*tries, last))
 
