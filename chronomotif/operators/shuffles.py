@@ -151,7 +151,7 @@ def constrained_time_shuffle(events: DataFrame, seed: int) -> DataFrame:
             b = int(rng.choice(peers))
         return line.swap(a, b)
 
-    out = events.groupBy(F.lit(0)).applyInPandas(_chain(step, seed), events.schema)
+    out = events.groupBy().applyInPandas(_chain(step, seed), events.schema)
     return renumbered(out)
 
 
@@ -163,7 +163,7 @@ def biased_time_shuffle(events: DataFrame, candidates: int, seed: int) -> DataFr
         others = sorted((int(b) for b in others if b != a), key=lambda b: line.closeness(a, line.start[b]))
         return any(line.swap(a, b) for b in others)
 
-    out = events.groupBy(F.lit(0)).applyInPandas(_chain(step, seed), events.schema)
+    out = events.groupBy().applyInPandas(_chain(step, seed), events.schema)
     return renumbered(out)
 
 
@@ -199,4 +199,4 @@ def configuration_model(edges: DataFrame, seed: int, rounds: int = 10) -> DataFr
         e["u"], e["v"] = [min(p) for p in zip(u, v, strict=True)], [max(p) for p in zip(u, v, strict=True)]
         return e
 
-    return edges.groupBy(F.lit(0)).applyInPandas(run, edges.schema)
+    return edges.groupBy().applyInPandas(run, edges.schema)

@@ -78,7 +78,8 @@ def read_matrix(spark: SparkSession, path: str, kind: str = "square", directed:
     if kind not in MATRICES:
         raise ValueError(f"a matrix is one of {', '.join(MATRICES)}")
     lines = _numbered_lines(spark, path)
-    rows = lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("i"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "x"))
+    rows = lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("i"), "value")
+    rows = rows.select("i", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "x"))
     shift = {"square": F.lit(0), "lowerdiag": F.lit(0), "slowerdiag": F.lit(0), "upperdiag": F.col("i"), "supperdiag": F.col("i") + 1}[kind]
     row = F.col("i") + 1 if kind == "slowerdiag" else F.col("i")
     cells = rows.select(row.cast("long").alias("u"), (F.col("k") + shift).cast("long").alias("v"), F.col("x").cast("double").alias("w"))
@@ -211,7 +212,7 @@ def read_communities(spark: SparkSession, path: str) -> DataFrame:
     """``node, comm``: the nodes of each line; communities are numbered by size, the largest first."""
     lines = _numbered_lines(spark, path).select("line_no", F.array_distinct(F.split(F.trim("value"), r"\s+")).alias("nodes"))
     by_size = Window.orderBy(F.size("nodes").desc(), F.array_min("nodes"), "line_no")
-    return lines.select((F.row_number().over(by_size) - 1).cast("long").alias("comm"), F.explode("nodes").alias("node")).select("node", "comm")
+    return lines.select((F.row_number().over(by_size) - 1).cast("long").alias("comm"), "nodes").select(F.explode("nodes").alias("node"), "comm")
 
 
 def write_communities(membership: DataFrame, path: str) -> None:
