@@ -19,7 +19,7 @@ def expected_targets(sizes):
 
 def test_mix(spark):
     rows = [(k, " ".join(["w"] * (k % 17 + 1)), "abc"[k % 3] if k % 5 else "a") for k in range(400)]
-    rows += [(1000, "x y", None), (1001, None, "d"), (1002, "", "d"), (None, "q r s", "b"), (7, "one two", "é"), (7, "one two", "é"), (8, "tiny", "f")]
+    rows += [(1000, "x y", None), (1001, None, "d"), (1002, "", "d"), (None, "q r s", "b"), (2007, "one two", "é"), (2007, "one two", "é"), (2008, "tiny", "f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("source", "size")
     out = mixing.mix_sources(df, source_col="size").collect()
     assert len(out) == len(rows)
