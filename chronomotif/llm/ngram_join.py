@@ -44,7 +44,10 @@ WORDS_KEPT = 500_000
 LEADER_GROWTH = 8
 
 _PACKED = "key int, kind int, ids binary, counts binary, a binary, b binary, c binary"
-_SETS = "doc_id long, n long, class_hash binary, q int, toks array<bigint>, second array<int>, third array<int>"
+_SETS = "doc_id long, n long, class_hash binary, q int, toks array<bigint>, second array<int>, third array<int>, bits array<bigint>"
+#: A set's hash and the parities of its tokens by 256 classes.
+CLASSES = 256
+_MARKS = np.dtype([("hash", "V16"), ("bits", "<i8", (CLASSES // 64,))])
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,6 +95,15 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(rolled))
 
 
+def _parities(tok: np.ndarray) -> bytes:
+    """A bit for each class of tokens: whether the set has an odd number of them.
+
+    Tokens that two sets share cancel, so the bits in which they differ are at
+    most the tokens that they don't share.
+    """
+    return np.packbits((np.bincount((_mix(tok, 5) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) & 1).astype(np.uint8)).tobytes()
+
+
 def _token_shift(parts: int) -> int:
     """Bits to drop from a hash, so that tokens divided by the number of parts have 40 bits."""
     return 64 - 40 - (parts.bit_length() - 1)
@@ -157,8 +169,8 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, words: int, common: np.
             s = shingle_set(text.as_py(), words)
             ids.append(i.as_py())
             sizes.append(len(s))
-            hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
             toks.append(np.unique(s >> shift))
+            hashes.append(xxhash.xxh3_128_digest(s.tobytes()) + _parities(toks[-1]))
             total += len(s)
             if total >= FLUSH_TOKENS or len(ids) >= 100_000:
                 yield from flush()
@@ -180,7 +192,7 @@ def _count(key: tuple, t: pa.Table, parts: int) -> pa.Table:
         for k in range(row.num_rows):
             one = pa.Table.from_batches([row.slice(k, 1)])
             ids, held = _column(one, "ids", np.int64), _column(one, "counts", np.uint32).astype(np.int64)
-            sizes, hashes, places = _column(one, "a", np.int64), _column(one, "b", "V16"), _column(one, "c", np.int32)
+            sizes, hashes, places = _column(one, "a", np.int64), _column(one, "b", _MARKS), _column(one, "c", np.int32)
             group = _group(ids, parts)
             order = np.argsort(group, kind="stable")
             cuts = _runs(group[order])
@@ -223,7 +235,7 @@ def _assemble(t: pa.Table, parts: int, percent: int, common: np.ndarray, ranks:
     kinds = np.array(t["kind"])
     docs, rest = t.filter(pa.array(kinds == 1)), t.filter(pa.array(kinds < 0))
     ids, held = _column(docs, "ids", np.int64), _column(docs, "counts", np.uint32).astype(np.int64)
-    sizes, hashes, places = _column(docs, "a", np.int64), _column(docs, "b", "V16"), _column(docs, "c", np.int32)
+    sizes, hashes, places = _column(docs, "a", np.int64), _column(docs, "b", _MARKS), _column(docs, "c", np.int32)
     # An id that comes again with its text: the first stands for all.
     owner = np.repeat(np.arange(len(ids)), held)
     order = np.argsort(ids, kind="stable")
@@ -268,14 +280,16 @@ def _assemble(t: pa.Table, parts: int, percent: int, common: np.ndarray, ranks:
 
     size = np.where(live, shared, 0)
     order = np.lexsort((_mix(unsigned, 1), rank, doc))
-    columns = [pa.array(ids), pa.array(sizes), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(np.maximum(q, 0), pa.int32()), listed(tok[order], size, pa.int64())]
+    bits = hashes["bits"]
+    columns = [pa.array(ids), pa.array(sizes), pa.array([h.tobytes() for h in hashes["hash"]], pa.binary()), pa.array(np.maximum(q, 0), pa.int32()), listed(tok[order], size, pa.int64())]
     inside = np.arange(len(doc)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
     for seed in (2, 3):
         order = np.lexsort((_mix(unsigned, seed), doc))
         head = order[inside < q[doc]] if len(doc) else order
         folded = (_mix(unsigned[head], 9) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         columns.append(listed(folded, np.where(live, np.maximum(q, 0), 0), pa.int32()))
-    return pa.Table.from_arrays(columns, names=["doc_id", "n", "class_hash", "q", "toks", "second", "third"])
+    columns.append(listed(np.ascontiguousarray(bits[live]).reshape(-1), np.where(live, bits.shape[1], 0), pa.int64()))
+    return pa.Table.from_arrays(columns, names=["doc_id", "n", "class_hash", "q", "toks", "second", "third", "bits"])
 
 
 def common_tokens(texts: DataFrame, parts: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,23 +342,37 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """From distinct sets (``set_id, n, q, toks, second, third``) to ``u, v``: sets and the smallest id of their component."""
+    """From distinct sets (``set_id, n, q, toks, second, third, bits``) to ``u, v``: sets and the smallest id of their component.
+
+    At the first token that two sets share in the first order, what can still
+    follow bounds what they share in all, and so do the bits in which their
+    parities differ; pairs that meet at no token where that is enough aren't
+    made. The sets with the fewest tokens of their own lead first: they are the
+    most like the others.
+    """
     spark = sets.sparkSession
-    bucket = sets.select("set_id", "n", F.explode(F.slice("toks", 1, F.col("q"))).alias("tok"))
+    alone = F.col("n") - F.size("toks")
+    words = [f"b{k}" for k in range(CLASSES // 64)]
+    bucket = sets.select("set_id", "n", alone.alias("alone"), *(F.col("bits")[k].alias(b) for k, b in enumerate(words)), F.posexplode(F.slice("toks", 1, F.col("q"))).alias("at", "tok"))
+    bucket = bucket.select("tok", "set_id", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place"), *words)
     several = lambda b, c: b.groupBy("tok").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).filter("lo <> hi").select("tok")
     buckets = materialize(bucket.join(several(bucket, "set_id"), "tok", "left_semi").withColumn("comp", F.col("set_id")), "buckets")
     links = spark.createDataFrame([], "u long, v long")
     leaders_of, labels = 1, links
+    least = F.ceil(percent * (F.col("n") + F.col("lead_n")) / F.lit(100 + percent))
+    reachable = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place"))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"lead_{b}"))) for b in words), F.lit(0))
     while buckets.limit(1).count():
         turn = F.pmod(F.xxhash64("set_id"), F.lit(leaders_of))
-        leader = F.min(F.struct("set_id", "n", "comp")).alias("x")
-        leaders = buckets.groupBy("tok", turn.alias("turn")).agg(leader).select("tok", F.col("x.set_id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.comp").alias("lead_comp"))
-        meets = buckets.join(leaders, "tok").filter("comp <> lead_comp and 100 * least(n, lead_n) >= %d * greatest(n, lead_n)" % percent)
+        leader = F.min(F.struct("alone", "set_id", "n", "comp", "place", *words)).alias("x")
+        leaders = buckets.groupBy("tok", turn.alias("turn")).agg(leader)
+        leaders = leaders.select("tok", *(F.col(f"x.{c}").alias(x) for c, x in (("set_id", "lead"), ("n", "lead_n"), ("comp", "lead_comp"), ("place", "lead_place"), *((b, f"lead_{b}") for b in words))))
+        meets = buckets.join(leaders, "tok").filter((F.col("comp") != F.col("lead_comp")) & (reachable >= least) & (apart <= F.col("n") + F.col("lead_n") - 2 * least))
         pairs = meets.select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
         found = materialize(linked(pairs, sets, percent).select(F.col("b").alias("u"), F.col("a").alias("v")), "found")
         labels = components(labels.unionAll(found))
-        left = buckets.join(leaders, (buckets["tok"] == leaders["tok"]) & (buckets["set_id"] == leaders["lead"]), "left_anti").select("set_id", "n", "tok")
-        left = left.join(labels, F.col("set_id") == F.col("u"), "left").select("set_id", "n", "tok", F.coalesce("v", "set_id").alias("comp"))
+        left = buckets.join(leaders, (buckets["tok"] == leaders["tok"]) & (buckets["set_id"] == leaders["lead"]), "left_anti").drop("comp")
+        left = left.join(labels, F.col("set_id") == F.col("u"), "left").select(*bucket.columns, F.coalesce("v", "set_id").alias("comp"))
         left = materialize(left, "left")
         buckets = materialize(left.join(several(left, "comp"), "tok", "left_semi"), "buckets")
         leaders_of *= LEADER_GROWTH
@@ -365,7 +393,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = shingle_sets(rows.filter("doc_id is not null"), words, percent)
     live = sets.filter("toks is not null")
     classes = live.groupBy("class_hash").agg(F.min("doc_id").alias("set_id"))
-    distinct = materialize(live.join(classes.select("set_id"), F.col("doc_id") == F.col("set_id")).select("set_id", "n", "q", "toks", "second", "third"), "distinct-sets")
+    distinct = materialize(live.join(classes.select("set_id"), F.col("doc_id") == F.col("set_id")).select("set_id", "n", "q", "toks", "second", "third", "bits"), "distinct-sets")
     labels = join_sets(distinct, percent)
     named = classes.join(labels, F.col("set_id") == F.col("u"), "left").select("class_hash", F.coalesce("v", "set_id").alias("component_id"))
     # Documents without a class of their own here are alone.
