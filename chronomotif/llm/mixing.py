@@ -99,7 +99,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _hash(id_col: str, text_col: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
+    """63 bits of MD5 over id and text: a hash that other engines have too."""
+    digest = F.md5(F.concat_ws("#", F.col(id_col).cast("string"), F.col(text_col)))
+    return F.shiftrightunsigned(F.conv(F.substring(digest, 1, 16), 16, -10).cast("long"), 1)
 
 
 def _with_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -145,5 +147,20 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("times")
-
+    return mix_sources(table(spark, sf_dir, "documents")).drop("times").withColumn("target", F.round("target", 6))
+
+
+#: The same mix for DuckDB: targets by the same filling up, thresholds by running sums over all hashes.
+SQL = """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+ CAST(('0x' || substr(md5(concat_ws('#', CAST(doc_id AS VARCHAR), text)), 1, 16))::UHUGEINT // 2 AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+b AS (SELECT *, 3.0 * source_size AS cap, sum(3.0 * source_size) OVER o AS caps, sum(weight) OVER o AS ws, sum(weight) OVER () AS weights FROM w
+ WINDOW o AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap / weight < (total - coalesce(caps, 0)) / (weights - coalesce(ws, 0)) AS filled FROM b),
+t AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE least(cap, (total - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ()) * weight
+ / sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ()) END AS target FROM f),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END AS times FROM t),
+r AS (SELECT d.*, g.source_size, g.target, g.times, g.target - g.times * g.source_size AS need,
+ sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS tied FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * least(3, times + CASE WHEN upto <= need OR (upto - tied <= need AND 2 * (need - upto + tied) >= tied) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""

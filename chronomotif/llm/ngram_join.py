@@ -405,3 +405,15 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+#: The same components for DuckDB, by all pairs that share a shingle: for small tables.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))
+ WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+u AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+c(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, c.c FROM c JOIN u ON u.a = c.id WHERE c.c < u.b)
+SELECT doc_id, n AS n_shingles, m AS component_id FROM n JOIN (SELECT id, min(c) AS m FROM c GROUP BY id) ON id = doc_id"""
