@@ -182,17 +182,19 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
+    named = docs.filter("doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     known = neighbours(ids).withColumnRenamed("doc_id", "id")
-    dealt = docs.join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
     # What the document before needs of a document: its first characters and its digests.
-    following = dealt.filter("before_id is not null").select(
+    dealt = named.join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+    following = dealt.select(
         F.col("before_id").alias("for_id"),
         F.left("text", F.floor(F.col("before_n") / 4).cast("int")).alias("start"),
         digests(F.col("text")).alias("next_digests"),
-    )
-    following = following.dropDuplicates(["for_id"])
-    both = dealt.select("doc_id", "text").join(following.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left")
+    ).dropDuplicates(["for_id"])
+    # The texts are dealt by id once, for both joins. A document without an id has no next one.
+    both = named.join(following.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "text", "start", "next_digests")
+    both = both.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)
     n = F.char_length("text")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("replaced", F.floor(n / 4).cast("int"))
     both = both.withColumn(
