@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 from chronomotif.llm.common import materialize, shuffle_partitions, table, text_or_empty
 
 #: The first words are cut finely, so that short texts have pieces too: words in all, words a piece.
-HEAD_WORDS, HEAD_PIECE = 24, 2
+HEAD_WORDS, HEAD_PIECE = 16, 2
 #: Words of a piece of a line.
-PIECE = 24
+PIECE = 16
 #: Cells of the fingerprint itself, and of the tables that follow: each of the latter for some three digests.
 BASE_CELLS = 24
-CELLS = (12, 24, 48)
+CELLS = (12, 24, 48, 96)
 DIGESTS_PER_TABLE = 3
-#: Where the bits for the three cells and for the table begin; below are 16 for the length.
+#: Where a digest's bits for the three cells of the fingerprint and for the table begin; below are 16 for the length.
 CELL_BITS_AT, TABLE_BITS_AT, MOST_TABLE_BITS = 16, 44, 20
+#: Where the check sum's bits for the cells of each following table begin: bits of their own, so that a larger table parts what a smaller one can't.
+CHECK_BITS_AT = {12: 0, 24: 6, 48: 15, 96: 27}
+#: Cells that fit in one long of bits.
+LONG = 64
 CELL = "array<struct<n:int,key:bigint,check:bigint>>"
 HEAD = rf"^(?:\S*+\s++){{0,{HEAD_WORDS}}}+"
 HEAD_PIECES = rf"(?:\S*+\s++){{1,{HEAD_PIECE}}}+"
@@ -52,18 +56,32 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1))
 
 
-def _mask(key: Column, cells: int) -> Column:
-    """The three cells of a digest as bits."""
+def _mask(bits_of: Column, cells: int, begin: int) -> list[Column]:
+    """The three cells of a digest as bits, from a hash's bits: a long for each 64 cells."""
     each = cells // 3
     bits = each.bit_length() - 1
-    place = lambda i: F.shiftrightunsigned(key, CELL_BITS_AT + bits * i).bitwiseAND(F.lit(each - 1)).cast("int") + each * i
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), place(i))
-    return one(0).bitwiseOR(one(1)).bitwiseOR(one(2))
+    place = lambda i: F.shiftrightunsigned(bits_of, begin + bits * i).bitwiseAND(F.lit(each - 1)).cast("int") + each * i
 
+    def one(i: int, k: int) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(i))
+        if cells <= LONG:
+            return bit
+        return F.when((place(i) >= LONG * k) & (place(i) < LONG * (k + 1)), bit).otherwise(F.lit(0).cast("long"))
 
-def entries(keys: Column, cells: int) -> Column:
+    return [one(0, k).bitwiseOR(one(1, k)).bitwiseOR(one(2, k)) for k in range(-(-cells // LONG))]
+
+
+def _entry(key: Column, check: Column, cells: int, first: bool, *more: Column) -> Column:
+    """A digest with its check sum and cells; the fingerprint's own cells (``first``) come from the digest, others from the check sum."""
+    masks = _mask(key, cells, CELL_BITS_AT) if first else _mask(check, cells, CHECK_BITS_AT[cells])
+    return F.struct(*more, key.alias("key"), check.alias("check"), *(m.alias(f"mask{k}") for k, m in enumerate(masks)))
+
+
+def entries(keys: Column, cells: int, first: bool = True) -> Column:
     """Digests with their check sums and cells, computed once."""
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), _mask(k, cells).alias("mask")))
+    if first:
+        return F.transform(keys, lambda k: _entry(k, _check(k), cells, True))
+    return F.transform(F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"))), lambda e: _entry(e["key"], e["check"], cells, False))
 
 
 def _empty(cells: int) -> Column:
@@ -71,15 +89,16 @@ def _empty(cells: int) -> Column:
     return F.array_repeat(F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("check")), cells)
 
 
-def _add(table_: Column, e: Column, times: Column) -> Column:
+def _add(table_: Column, e: Column, times: Column, cells: int) -> Column:
     """The table with an entry put in so many times, or taken out."""
     put = lambda c: F.struct((c["n"] + times).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["check"].bitwiseXOR(e["check"]).alias("check"))
-    here = lambda j: F.call_function("shiftright", e["mask"], j).bitwiseAND(F.lit(1)) == 1
+    mask = lambda j: e["mask0"] if cells <= LONG else F.when(j < LONG, e["mask0"]).otherwise(e["mask1"])
+    here = lambda j: F.call_function("shiftright", mask(j), j).bitwiseAND(F.lit(1)) == 1
     return F.transform(table_, lambda c, j: F.when(here(j), put(c)).otherwise(c))
 
 
-def build(keys: Column, cells: int) -> Column:
-    return F.aggregate(entries(keys, cells), _empty(cells), lambda t, e: _add(t, e, F.lit(1)))
+def build(keys: Column, cells: int, first: bool = True) -> Column:
+    return F.aggregate(entries(keys, cells, first), _empty(cells), lambda t, e: _add(t, e, F.lit(1), cells))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -90,19 +109,17 @@ def subtract(a: Column, b: Column) -> Column:
     )
 
 
-def peel(difference: Column, cells: int) -> Column:
+def peel(difference: Column, cells: int, first: bool = True) -> Column:
     """The digests in a difference of tables; null where peeling gets stuck."""
     alone = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
 
     def step(a: Column, _: Column) -> Column:
         def take(c: Column) -> Column:
-            out = F.struct(_add(a["t"], c, -c["n"]).alias("t"), F.concat(a["found"], F.array(c["key"])).alias("found"), F.lit(False).alias("over"))
+            out = F.struct(_add(a["t"], c, -c["n"], cells).alias("t"), F.concat(a["found"], F.array(c["key"])).alias("found"), F.lit(False).alias("over"))
             return F.when(c["key"].isNull(), F.struct(a["t"].alias("t"), a["found"].alias("found"), F.lit(True).alias("over"))).otherwise(out)
 
-        first = F.transform(
-            F.array(F.get(F.filter(a["t"], alone), F.lit(0))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"), _mask(c["key"], cells).alias("mask"))
-        )
-        return F.when(a["over"], a).otherwise(F.get(F.transform(first, take), F.lit(0)))
+        lone = F.transform(F.array(F.get(F.filter(a["t"], alone), F.lit(0))), lambda c: _entry(c["key"], c["check"], cells, first, c["n"].alias("n")))
+        return F.when(a["over"], a).otherwise(F.get(F.transform(lone, take), F.lit(0)))
 
     begin = F.struct(difference.alias("t"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("over"))
     clean = lambda a: ~F.exists(a["t"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
@@ -125,8 +142,8 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     bits = F.least(bits, F.lit(MOST_TABLE_BITS))
 
     def small(x: Column, y: Column) -> Column:
-        tries = [peel(subtract(build(x, n), build(y, n)), n) for n in CELLS]
-        # Two digests with equal cells in every size of table, which no peeling parts: an exact comparison of the few in it.
+        tries = [peel(subtract(build(x, n, False), build(y, n, False)), n, False) for n in CELLS]
+        # A check only: were a table stuck at every size, each of which has other bits for its cells, the few in it are compared.
         last = F.concat(F.array_except(x, y), F.array_except(y, x))
         return F.when(x == y, F.array().cast("array<bigint>")).otherwise(F.coalesce(*tries, last))
 

@@ -46,3 +46,23 @@ def test_odd_rows(spark, tmp_path):
     assert fp.op10_fingerprints(spark, str(tmp_path)).count() == 4
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert fp.op10_fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_larger_tables_part_digests_that_smaller_ones_cannot(spark):
+    """Digests that agree in the bits of a table's cells: each size has other bits, and so one of them peels."""
+    pairs = [((7 << 44) | (0x5A5 << 16) | 40 | (k << 31), (7 << 44) | (0x5A5 << 16) | 41 | ((k + 1) << 31)) for k in range(64)]
+    df = spark.createDataFrame([(list(p),) for p in pairs], "a array<bigint>")
+    none = F.array().cast("array<bigint>")
+    peels = [fp.peel(fp.subtract(fp.build(F.col("a"), n, False), fp.build(none, n, False)), n, False) for n in fp.CELLS]
+    rows = df.select("a", F.coalesce(*peels).alias("d"), peels[-1].alias("largest")).collect()
+    assert fp.CELLS[-1] >= 96 and all(set(r["d"]) == set(r["a"]) for r in rows)
+    assert sum(r["largest"] is not None for r in rows) >= 63
+
+
+def test_a_changed_word_spoils_sixteen_words(spark):
+    words = [f"w{k:03d}" for k in range(320)]
+    a, b = " ".join(words), " ".join([*words[:100], "x100", *words[101:]])
+    df = fp.fingerprints(spark.createDataFrame([(a, b)], "text string, other string"))
+    df = fp.fingerprints(df, "other", "d2", "c2", "f2")
+    near = df.select(fp.likeness(F.col("digests"), F.col("d2"), F.col("cells"), F.col("c2"))).first()[0]
+    assert abs(near - (1 - 16 / 320)) < 0.002
