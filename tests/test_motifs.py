@@ -205,3 +205,54 @@ def test_queries(events, types):
     levels = with_levels(report)
     same = levels.filter("motif_key = '[0,0,0] 0>1:1 1>2:1'").select("graph_key").distinct().collect()
     assert [r[0] for r in same] == ["[0,0,0] 0-1 0-2"]
+
+
+def test_levels_of_six_nodes_and_more(spark):
+    """Keys of large motifs: equal exactly where brute force over all orders finds forms isomorphic."""
+    from itertools import permutations
+
+    rnd = random.Random(3)
+
+    def shuffled(edges, n):
+        p = rnd.sample(range(n), n)
+        return rnd.sample([(p[i], p[j]) for i, j in edges], len(edges))
+
+    def named(edges):
+        names = {}
+        for e in edges:
+            for x in e:
+                names.setdefault(x, len(names))
+        return [(names[i], names[j]) for i, j in edges]
+
+    path, star = [(k, k + 1) for k in range(5)], [(0, k) for k in range(1, 6)]
+    ring, two_rings = [(k, (k + 1) % 6) for k in range(6)], [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (0, 3)]
+    prism = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (0, 3), (1, 4), (2, 5)]
+    k33 = [(i, j) for i in range(3) for j in range(3, 6)]
+    shapes = [named(shuffled(s, 6)) for s in (path, star, ring, two_rings, prism, k33, [*path, (0, 1)]) for _ in range(3)]
+
+    def least(edges, level):
+        best = None
+        for p in permutations(range(6)):
+            x = [(p[i], p[j]) for i, j in edges]
+            x = sorted(x) if level == "multigraph" else sorted(set(x)) if level == "digraph" else sorted({(min(e), max(e)) for e in x})
+            best = x if best is None or x < best else best
+        return tuple(best)
+
+    motif = lambda edges, n=6: f"[{','.join('0' * n)}] {' '.join(f'{i}>{j}:1' for i, j in edges)}"
+    rows = [(k, motif(s), 1) for k, s in enumerate(shapes)]
+    report = spark.createDataFrame(rows, "k int, motif string, count long")
+    got = sorted(with_levels(report).collect(), key=lambda r: r["k"])
+    for level in ("multigraph", "digraph", "graph"):
+        want = [least(s, level) for s in shapes]
+        keys = [r[f"{level}_key"] for r in got]
+        assert None not in keys
+        for a in range(len(shapes)):
+            for b in range(a):
+                assert (keys[a] == keys[b]) == (want[a] == want[b]), (level, shapes[a], shapes[b])
+    like = MotifQuery(like={"graph": [got[0]["graph_key"]]}, group_by="graph").run(report).collect()
+    assert {r["k"] for r in like} == {k for k, s in enumerate(shapes) if least(s, "graph") == least(shapes[0], "graph")}
+    # Very symmetric: a star of 30 leaves, and ten legs of two nodes.
+    legs = [e for k in range(10) for e in ((0, 2 * k + 1), (2 * k + 1, 2 * k + 2))]
+    big = [(31, [(0, k) for k in range(1, 31)]), (21, legs)]
+    rows = [(motif(named(shuffled(e, n)), n), 1) for n, e in big for _ in range(3)]
+    assert with_levels(spark.createDataFrame(rows, "motif string, count long")).select("graph_key", "digraph_key", "multigraph_key").distinct().count() == 2
