@@ -669,6 +669,30 @@ def community_network(spark, sf_dir):
 # --- without SQL ----------------------------------------------------------
 
 
+#: Starts of paths over the whole network, drawn from all nodes, as the reference's ``maxSamples``; 0 for all.
+PATH_STARTS, PATH_SEED = 1000, 0
+
+
+def _whole_lengths(g: Graph) -> DataFrame:
+    g = Graph(saved(g.edges), saved(g.nodes))
+    return graphs.path_lengths(g, graphs.sampled_starts(g, PATH_STARTS, PATH_SEED))
+
+
+@query()
+def path_lengths_whole(spark, sf_dir):
+    return _whole_lengths(_net(spark, sf_dir))
+
+
+@query()
+def mean_path_whole(spark, sf_dir):
+    return graphs.mean_path_length(_whole_lengths(_net(spark, sf_dir)))
+
+
+@query()
+def path_dist_whole(spark, sf_dir):
+    return graphs.path_distribution(_whole_lengths(_net(spark, sf_dir)))
+
+
 @query()
 def betweenness(spark, sf_dir):
     return graphs.betweenness(_trade(spark, sf_dir))

@@ -107,3 +107,28 @@ def test_information(spark):
     values = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "v double")
     assert stats.percentile(values, "v", 0.25).first()[0] == pytest.approx(1.75)
     assert {r["value"]: r["share"] for r in stats.cumulative(values, "v").collect()} == {1.0: 1.0, 2.0: 0.75, 4.0: 0.5, 10.0: 0.25}
+
+
+def test_paths_from_every_node_over_every_edge(spark):
+    """Brute force over a network with weak edges, a long chain and two components; and samples of starts."""
+    from chronomotif import registry
+
+    rnd = random.Random(5)
+    pairs = {(a, b) for a, b in combinations(range(12), 2) if rnd.random() < 0.2} | {(k, k + 1) for k in range(20, 36)}
+    g = Graph.of(spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "u long, v long, w double"))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in near:
+        seen, front, d = {s}, {s}, 0
+        while front:
+            d, front = d + 1, {x for k in front for x in near[k]} - seen
+            seen |= front
+            want |= {(s, x): d for x in front}
+    assert {(r["start"], r["node"]): r["dist"] for r in registry._whole_lengths(g).collect()} == want
+    assert max(want.values()) == 16
+    few = graphs.sampled_starts(g, 3, 1).collect()
+    assert len(few) == 3 and few == graphs.sampled_starts(g, 3, 1).collect()
+    assert graphs.sampled_starts(g, 0).count() == len(near)
