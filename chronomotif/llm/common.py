@@ -65,6 +65,34 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: functions of arrays are evaluated anew wherever they stand in another's body."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that :func:`scan` holds in one piece; pieces are joined at the end, so that a long array isn't copied for each element.
+SCAN_PIECE = 256
+
+
+def scan(items: Column, state: Column, step, out: str) -> Column:
+    """A running fold: for each of ``items`` in turn, ``step(state, item)`` gives a struct of the next ``state`` and what to put ``out``.
+
+    ``out`` is the type of that, as text. The result is the array of what was put out.
+    """
+    none, pieces = (F.array().cast(f"array<{'array<' * k}{out}{'>' * k}>") for k in (0, 1))
+
+    def one(a: Column, x: Column) -> Column:
+        return bound(step(a["s"], x), lambda t: F.struct(t["state"].alias("s"), F.concat(a["out"], F.array(t["out"])).alias("out")))
+
+    def piece(a: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(items, k * SCAN_PIECE + 1, F.lit(SCAN_PIECE)), F.struct(a["s"].alias("s"), none.alias("out")), one)
+        return bound(inner, lambda t: F.struct(t["s"].alias("s"), F.concat(a["out"], F.array(t["out"])).alias("out")))
+
+    n = F.size(items)
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / SCAN_PIECE).cast("int")), F.struct(state.alias("s"), pieces.alias("out")), piece, lambda a: F.flatten(a["out"]))
+    return F.when(n > 0, whole).otherwise(none)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; ``CHRONOMOTIF_TOKENIZERS`` names another folder."""
     folder = os.environ.get("CHRONOMOTIF_TOKENIZERS")

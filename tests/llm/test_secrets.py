@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -66,3 +67,29 @@ def test_query(spark, tmp_path):
         b = base(TEXTS[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(b.encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(b.count(k[0] + ":") for k in PATTERNS)
+
+
+def test_dense_matches_in_a_long_text(spark):
+    """Every match is found where it is, in time that grows with the text: 300 KB of 32-digit strings, a run of 100 KB."""
+    rnd = random.Random(4)
+    digits = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    texts = [" é ".join(digits(32) for _ in range(9_000)), "x " + "".join(rnd.choices(secrets.LETTERS + "0123456789", k=100_000)), "secret=" + "a" * 200_000]
+    df = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = df.select("doc_id", secrets.written(F.filter("secrets", lambda s: s["kind"] < 3)).alias("b"), secrets.written(F.col("secrets")).alias("all"), secrets.redact(F.col("text"), F.col("secrets")).alias("r")).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["b"] == base(text)
+        spans = sorted(tuple(map(int, s.split(":")[1:])) for s in r["all"].split(","))
+        assert sorted(s for s in r["all"].split(",") if s.startswith("entropy")) == sorted(f"{n}:{a}:{b}" for a, n, b in entropy(text))
+        out, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                out.append(text[at:a])
+            at = max(at, b)
+        assert r["r"] == "[SECRET]".join([*out, text[at:]])
+
+
+def test_spans_that_touch_and_overlap(spark):
+    rows = [("abcdefghij", [(0, 0, 2), (2, 1, 4), (3, 0, 6), (4, 2, 5), (9, 0, 10)])]
+    df = spark.createDataFrame(rows, "t string, s array<struct<start:int,kind:int,stop:int>>")
+    assert df.select(secrets.redact(F.col("t"), F.col("s"), "#")).first()[0] == "##ghi#"
