@@ -1,15 +1,16 @@
 """Document fingerprints as invertible Bloom lookup tables (operator 10).
 
-A text is cut into paragraph pieces; each has a digest that carries the piece's
-length. A table cell holds the count of the digests hashed to it, their xor,
-and the xor of their check sums; every digest goes to three cells. Tables of
-two versions are subtracted cell by cell, and peeling takes out, one after the
-other, the digests that stand alone in a cell: what is recovered is what the
-versions don't share. Where peeling gets stuck, larger tables follow: first the
-digests are dealt to as many small tables as the texts ask for, then a table
-that is still stuck doubles its cells.
-
-All of it is column expressions.
+A text is cut into pieces of its paragraphs; each has a digest that carries the
+piece's length. A table cell holds the count of the digests hashed to it, their
+xor, and the xor of their check sums; every digest goes to one cell in each of
+three parts of the table. Tables of two versions are subtracted cell by cell,
+and peeling takes out the digests that stand alone in a cell: what is recovered
+is what the versions don't share. Where peeling gets stuck, both versions are
+put into a larger table, under other hashes, and so on until it empties.
+
+Digests, cells and peeling rounds are rows: they are grouped by document and
+cell, where documents already lie, so that only texts and digests are shuffled.
+All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -21,30 +22,31 @@ from chronomotif.llm.common import materialize, shuffle_partitions, table, text_
 
 #: The first words are cut finely, so that short texts have pieces too: words in all, words a piece.
 HEAD_WORDS, HEAD_PIECE = 16, 2
-#: Words of a piece of a line.
+#: Most words of a piece of a line; it ends with a sentence before that.
 PIECE = 16
-#: Cells of the fingerprint itself, and of the tables that follow: each of the latter for some three digests.
-BASE_CELLS = 24
-CELLS = (12, 24, 48, 96)
-DIGESTS_PER_TABLE = 3
-#: Where a digest's bits for the three cells of the fingerprint and for the table begin; below are 16 for the length.
-CELL_BITS_AT, TABLE_BITS_AT, MOST_TABLE_BITS = 16, 44, 20
-#: Where the check sum's bits for the cells of each following table begin: bits of their own, so that a larger table parts what a smaller one can't.
-CHECK_BITS_AT = {12: 0, 24: 6, 48: 15, 96: 27}
-#: Cells that fit in one long of bits.
-LONG = 64
-CELL = "array<struct<n:int,key:bigint,check:bigint>>"
-HEAD = rf"^(?:\S*+\s++){{0,{HEAD_WORDS}}}+"
-HEAD_PIECES = rf"(?:\S*+\s++){{1,{HEAD_PIECE}}}+"
-LINE_PIECES = rf"(?:[^\S\n]*+\S++){{1,{PIECE}}}+[^\S\n]*+\n?+|\s"
+#: Longer words, and longer blanks between them, are cut: a piece has fewer than 65536 characters.
+WORD_CHARS = 1024
+#: Parts of a table, slots of each in the fingerprint, and digests for which a larger table has three slots, two at the least.
+PARTS, BASE_SLOTS = 3, 8
+DIGESTS_PER_SLOT = 1.5
+#: Peeling steps before a table counts as stuck, each for one part: of the fingerprint, of larger tables.
+BASE_STEPS, STEPS = 6, 9
+
+CELLS = "array<struct<cell:bigint,n:bigint,key:bigint,check:bigint>>"
+DIGESTS = "array<bigint>"
+PAIRS = f"array<struct<a:{DIGESTS},b:{DIGESTS},found:bigint>>"
+_BLANK, _WORD = rf"[^\S\n]{{0,{WORD_CHARS}}}+", rf"\S{{1,{WORD_CHARS}}}+"
+HEAD = rf"^(?:\s{{0,{WORD_CHARS}}}+{_WORD}){{0,{HEAD_WORDS}}}+"
+HEAD_PIECES = rf"(?:\s{{0,{WORD_CHARS}}}+{_WORD}){{1,{HEAD_PIECE}}}+"
+LINE_PIECES = rf"(?=[\s\S])(?:{_BLANK}{_WORD}(?<![.!?])){{0,{PIECE - 1}}}+(?:{_BLANK}{_WORD})?+{_BLANK}\n?+"
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of a text's pieces: 48 bits of hash, 16 of length (longer pieces count as 65535)."""
+    """Distinct digests of a text's pieces: 48 bits of hash, 16 of length."""
     head = F.regexp_extract(text, HEAD, 0)
     rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
     pieces = F.concat(F.regexp_extract_all(head, F.lit(HEAD_PIECES), F.lit(0)), F.regexp_extract_all(rest, F.lit(LINE_PIECES), F.lit(0)))
-    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.least(F.char_length(p), F.lit(0xFFFF)).cast("long"))
+    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.char_length(p).cast("long"))
     return F.array_distinct(F.transform(pieces, key))
 
 
@@ -53,125 +55,165 @@ def length(keys: Column) -> Column:
 
 
 def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(1))
+    return F.xxhash64(key, F.lit(-1))
 
 
-def _mask(bits_of: Column, cells: int, begin: int) -> list[Column]:
-    """The three cells of a digest as bits, from a hash's bits: a long for each 64 cells."""
-    each = cells // 3
-    bits = each.bit_length() - 1
-    place = lambda i: F.shiftrightunsigned(bits_of, begin + bits * i).bitwiseAND(F.lit(each - 1)).cast("int") + each * i
+def _place(key: Column, slots: Column, part: int, attempt: int) -> Column:
+    """The cell of a digest in a part of a table; every attempt has hashes of its own."""
+    return F.xxhash64(key, F.lit(PARTS * attempt + part)).bitwiseAND(slots - 1) * PARTS + part
 
-    def one(i: int, k: int) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(i))
-        if cells <= LONG:
-            return bit
-        return F.when((place(i) >= LONG * k) & (place(i) < LONG * (k + 1)), bit).otherwise(F.lit(0).cast("long"))
 
-    return [one(0, k).bitwiseOR(one(1, k)).bitwiseOR(one(2, k)) for k in range(-(-cells // LONG))]
+def _spread(df: DataFrame, by: list[str], entries: Column, fields: list[str]) -> DataFrame:
+    """A row for each entry of each row of ``df``, and one, with null fields, that carries the row itself."""
+    row = F.struct(*(c for c in df.columns if c not in by))
+    none = F.lit(None).cast(df.select(row.alias("row")).schema["row"].dataType)
+    carrier = F.struct(row.alias("row"), *(F.lit(None).cast("bigint").alias(f) for f in fields))
+    each = lambda x: F.struct(none.alias("row"), *(x[f].cast("bigint").alias(f) for f in fields))
+    return df.select(*by, F.inline(F.concat(F.array(carrier), F.transform(entries, each))))
 
 
-def _entry(key: Column, check: Column, cells: int, first: bool, *more: Column) -> Column:
-    """A digest with its check sum and cells; the fingerprint's own cells (``first``) come from the digest, others from the check sum."""
-    masks = _mask(key, cells, CELL_BITS_AT) if first else _mask(check, cells, CHECK_BITS_AT[cells])
-    return F.struct(*more, key.alias("key"), check.alias("check"), *(m.alias(f"mask{k}") for k, m in enumerate(masks)))
+def _sums(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells by key, without those that are empty; rows that carry a row stay."""
+    out = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    return out.filter("row is not null or cell = -1 or n <> 0 or key <> 0 or check <> 0")
 
 
-def entries(keys: Column, cells: int, first: bool = True) -> Column:
-    """Digests with their check sums and cells, computed once."""
-    if first:
-        return F.transform(keys, lambda k: _entry(k, _check(k), cells, True))
-    return F.transform(F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"))), lambda e: _entry(e["key"], e["check"], cells, False))
+def _returned(rows: DataFrame, by: list[str], df: DataFrame, what: Column) -> DataFrame:
+    """Rows as they were carried, with an array ``got`` of what the others hold."""
+    out = rows.groupBy(*by).agg(F.collect_list(F.struct("row", what.alias("x"))).alias("all"))
+    row = F.get(F.filter("all", lambda r: r["row"].isNotNull()), F.lit(0))["row"]
+    got = F.transform(F.filter("all", lambda r: r["row"].isNull()), lambda r: r["x"])
+    out = out.select(*by, row.alias("row"), got.alias("got"))
+    return out.select(*by, *(F.col("row")[c].alias(c) for c in df.columns if c not in by), "got")
 
 
-def _empty(cells: int) -> Column:
-    zero = F.lit(0).cast("long")
-    return F.array_repeat(F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("check")), cells)
+def with_tables(df: DataFrame, by: list[str], sides: dict[str, str]) -> DataFrame:
+    """``df`` with the table of each array of digests (``sides``: their columns to those of the tables): cells that aren't empty, in order.
 
-
-def _add(table_: Column, e: Column, times: Column, cells: int) -> Column:
-    """The table with an entry put in so many times, or taken out."""
-    put = lambda c: F.struct((c["n"] + times).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["check"].bitwiseXOR(e["check"]).alias("check"))
-    mask = lambda j: e["mask0"] if cells <= LONG else F.when(j < LONG, e["mask0"]).otherwise(e["mask1"])
-    here = lambda j: F.call_function("shiftright", mask(j), j).bitwiseAND(F.lit(1)) == 1
-    return F.transform(table_, lambda c, j: F.when(here(j), put(c)).otherwise(c))
+    ``by`` tells rows apart. Rows are grouped by it; where ``df`` lies by its
+    first column they aren't shuffled.
+    """
+    names = list(sides)
+    of = lambda c, s: F.transform(c, lambda k: F.struct(F.lit(s).alias("side"), k.alias("key")))
+    entries = F.flatten(F.array(*(of(c, s) for s, c in enumerate(names))))
+    rows = _spread(df, by, entries, ["side", "key"])
+    rows = rows.withColumn("part", F.explode(F.when(F.col("key").isNull(), F.array(F.lit(0))).otherwise(F.array(*(F.lit(p) for p in range(PARTS))))))
+    slots = F.lit(BASE_SLOTS)
+    cell = F.when(F.col("part") == 0, _place(F.col("key"), slots, 0, 0)).when(F.col("part") == 1, _place(F.col("key"), slots, 1, 0)).otherwise(_place(F.col("key"), slots, 2, 0))
+    rows = rows.select(*by, "row", "side", cell.alias("cell"), F.lit(1).cast("long").alias("n"), "key", _check(F.col("key")).alias("check"))
+    rows = _sums(rows, [*by, "row", "side", "cell"])
+    out = _returned(rows, by, df, F.struct("side", F.struct("cell", "n", "key", "check").alias("cell")))
+    cells = lambda s: F.array_sort(F.transform(F.filter("got", lambda x: x["side"] == s), lambda x: x["cell"]))
+    return out.select(*(c for c in out.columns if c not in ("got", *sides.values())), *(cells(s).alias(sides[c]) for s, c in enumerate(names)))
+
+
+def _peeled(df: DataFrame, by: list[str], cells: DataFrame, attempt: int, steps: int) -> DataFrame:
+    """``df`` with ``got``: by ``pair``, the length of the digests recovered (``found``) and the cells that are ``left``.
+
+    Each step takes out of one part of the tables every digest that is alone
+    in its cell: no digest twice, as it has one cell there.
+    """
+    keys = [*by, "row", "pair", "slots", "cell"]
+    cells = _sums(cells, keys)
+    for step in range(steps):
+        part = step % PARTS
+        alone = (F.col("cell") % PARTS == part) & (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
+        zero = F.lit(0).cast("long")
+        found = F.struct(F.lit(-1).cast("long").alias("cell"), F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("n"), zero.alias("key"), zero.alias("check"))
+        out = [F.struct(_place(F.col("key"), F.col("slots"), p, attempt).alias("cell"), (-F.col("n")).alias("n"), "key", "check") for p in range(PARTS) if p != part]
+        cells = cells.select(*keys[:-1], F.inline(F.when(alone, F.array(found, *out)).otherwise(F.array(F.struct("cell", "n", "key", "check")))))
+        cells = _sums(cells, keys)
+    pairs = cells.groupBy(*by, "row", "pair").agg(F.sum(F.when(F.col("cell") == -1, F.col("n")).otherwise(0)).alias("found"), F.count_if(F.col("cell") >= 0).alias("left"))
+    return _returned(pairs, by, df, F.struct("pair", "found", "left"))
 
 
-def build(keys: Column, cells: int, first: bool = True) -> Column:
-    return F.aggregate(entries(keys, cells, first), _empty(cells), lambda t, e: _add(t, e, F.lit(1), cells))
+def _settled(df: DataFrame) -> DataFrame:
+    """``pairs`` with what ``got`` tells; those that are settled drop their digests."""
 
+    def one(p: Column, i: Column) -> Column:
+        mine = F.get(F.filter("got", lambda g: g["pair"] == i), F.lit(0))
+        found = F.when(p["found"].isNotNull(), p["found"]).when(mine.isNull(), 0).when(mine["left"] == 0, mine["found"])
+        none = F.array().cast(DIGESTS)
+        return F.struct(F.when(found.isNull(), p["a"]).otherwise(none).alias("a"), F.when(found.isNull(), p["b"]).otherwise(none).alias("b"), found.alias("found"))
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a,
-        b,
-        lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")),
-    )
+    return df.withColumn("pairs", F.transform("pairs", one)).drop("got")
 
 
-def peel(difference: Column, cells: int, first: bool = True) -> Column:
-    """The digests in a difference of tables; null where peeling gets stuck."""
-    alone = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
+def subtract_tables(df: DataFrame, by: list[str], tables: list[tuple[str, str]]) -> DataFrame:
+    """``df`` with ``pairs`` (see :data:`PAIRS`) settled where two fingerprints' tables, subtracted, peel.
 
-    def step(a: Column, _: Column) -> Column:
-        def take(c: Column) -> Column:
-            out = F.struct(_add(a["t"], c, -c["n"], cells).alias("t"), F.concat(a["found"], F.array(c["key"])).alias("found"), F.lit(False).alias("over"))
-            return F.when(c["key"].isNull(), F.struct(a["t"].alias("t"), a["found"].alias("found"), F.lit(True).alias("over"))).otherwise(out)
+    ``tables`` names the columns of the two tables of each pair.
+    """
 
-        lone = F.transform(F.array(F.get(F.filter(a["t"], alone), F.lit(0))), lambda c: _entry(c["key"], c["check"], cells, first, c["n"].alias("n")))
-        return F.when(a["over"], a).otherwise(F.get(F.transform(lone, take), F.lit(0)))
+    def signed(c: str, i: int, by_: int) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(i).alias("pair"), F.lit(BASE_SLOTS).alias("slots"), x["cell"], (x["n"] * by_).alias("n"), x["key"], x["check"]))
 
-    begin = F.struct(difference.alias("t"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("over"))
-    clean = lambda a: ~F.exists(a["t"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(cells)), begin, step, lambda a: F.when(clean(a), a["found"]))
+    entries = F.flatten(F.array(*(signed(c, i, s) for i, both in enumerate(tables) for c, s in zip(both, (1, -1), strict=True))))
+    cells = _spread(df, by, entries, ["pair", "slots", "cell", "n", "key", "check"])
+    return _settled(_peeled(df, by, cells, 0, BASE_STEPS))
 
 
-def _deal(keys: Column, bits: Column) -> Column:
-    """The digests by 2**bits tables, in two steps, so that a long text isn't passed once for each table."""
-    high = F.floor(bits / 2).cast("int")
-    low = bits - high
-    power = lambda n: F.call_function("shiftleft", F.lit(1), n)
-    at = lambda k: F.shiftrightunsigned(k, TABLE_BITS_AT).cast("int")
-    one = lambda some, n, of: F.transform(F.sequence(F.lit(0), power(n) - 1), lambda s: F.filter(some, lambda k: of(k).bitwiseAND(power(n) - 1) == s))
-    return F.flatten(F.transform(one(keys, high, at), lambda g: one(g, low, lambda k: F.call_function("shiftright", at(k), high))))
+def retry_larger(df: DataFrame, by: list[str], attempt: int) -> DataFrame:
+    """``df`` with those of its ``pairs`` that aren't settled tried in larger tables, of twice the slots from attempt to attempt."""
 
+    def both(p: Column, i: Column) -> Column:
+        wanted = F.greatest((F.size(p["a"]) + F.size(p["b"])) / F.lit(DIGESTS_PER_SLOT), F.lit(2.0))
+        slots = F.call_function("shiftleft", F.lit(1).cast("long"), (F.ceil(F.log2(wanted)) + (attempt - 1)).cast("int"))
+        side = lambda c, sign: F.transform(p[c], lambda k: F.struct(i.alias("pair"), slots.alias("slots"), F.lit(sign).alias("n"), k.alias("key")))
+        return F.when(p["found"].isNull(), F.concat(side("a", 1), side("b", -1))).otherwise(F.array().cast("array<struct<pair:int,slots:bigint,n:int,key:bigint>>"))
 
-def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """The digests that two texts don't share, from their tables."""
-    bits = F.ceil(F.log2(F.greatest((F.size(a) + F.size(b)) / F.lit(DIGESTS_PER_TABLE), F.lit(1.0)))).cast("int")
-    bits = F.least(bits, F.lit(MOST_TABLE_BITS))
+    rows = _spread(df, by, F.flatten(F.transform("pairs", both)), ["pair", "slots", "n", "key"])
+    at = F.array(*(_place(F.col("key"), F.col("slots"), p, attempt) for p in range(PARTS)))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("key").isNull(), F.array(F.lit(None).cast("long"))).otherwise(at)))
+    return _settled(_peeled(df, by, rows.withColumn("check", _check(F.col("key"))), attempt, STEPS))
 
-    def small(x: Column, y: Column) -> Column:
-        tries = [peel(subtract(build(x, n, False), build(y, n, False)), n, False) for n in CELLS]
-        # A check only: were a table stuck at every size, each of which has other bits for its cells, the few in it are compared.
-        last = F.concat(F.array_except(x, y), F.array_except(y, x))
-        return F.when(x == y, F.array().cast("array<bigint>")).otherwise(F.coalesce(*tries, last))
 
-    larger = F.flatten(F.zip_with(_deal(a, bits), _deal(b, bits), small))
-    return F.coalesce(peel(subtract(base_a, base_b), BASE_CELLS), larger)
+def settle(df: DataFrame, by: list[str], attempt: int = 1) -> DataFrame:
+    """``df`` with all its ``pairs`` settled: the first attempt where rows lie, then only those that are left, from written tables."""
+    rows, done = materialize(retry_larger(df, by, attempt), "sketches"), []
+    left = F.exists("pairs", lambda p: p["found"].isNull())
+    while rows.filter(left).limit(1).count():
+        attempt += 1
+        done.append(rows.filter(~left))
+        rows = materialize(retry_larger(rows.filter(left), by, attempt), "sketches")
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
 
 
-def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
+def likeness(found: Column, a_length: Column, b_length: Column) -> Column:
     """Share of the characters, in both texts' distinct pieces, that lie in shared ones: 0 to 1; 1 for two empty texts."""
-    both = length(a) + length(b)
-    return F.when(both == 0, 1.0).otherwise(1.0 - length(differing(a, b, base_a, base_b)) / F.when(both != 0, both))
+    both = a_length + b_length
+    return F.when(both == 0, 1.0).otherwise(1.0 - found / F.when(both != 0, both))
 
 
-def serialized(keys: Column, base: Column) -> Column:
+def serialized(n: Column, cells: Column) -> Column:
     """Number of digests and the cells of the fingerprint, as text."""
-    cell = lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"]))
-    return F.concat(F.size(keys).cast("string"), F.lit("|"), F.array_join(F.transform(base, cell), "|"))
+    cell = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"]))
+    return F.concat(n.cast("string"), F.lit("|"), F.array_join(F.transform(cells, cell), "|"))
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", digests_col: str = "digests", cells_col: str = "cells", out_col: str = "fingerprint") -> DataFrame:
-    """``df`` with the text's digests, the cells of its table, and both as one string.
+def compare_texts(df: DataFrame, by: list[str], keep: list[str], texts: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
+    """``by`` and the columns ``keep``, with ``<name>_fingerprint`` for each of ``texts`` (digests by name), and ``near_<a>_<b>`` for each of ``pairs``.
 
-    Null texts count as empty: no digests. Every row is kept with its other
-    columns; columns that have the names of the new ones are replaced.
+    Rows are told apart by ``by``, and lie best by its first column. Digests of
+    null or empty texts are none; they are like each other and nothing else.
+    Repeated rows are rows of their own; an empty table gives an empty result.
+    Columns that aren't named in ``keep`` are left out, and so is one that has
+    the name of a new one.
     """
-    out = df.withColumn(digests_col, digests(text_or_empty(text_col)))
-    out = out.withColumn(cells_col, build(F.col(digests_col), BASE_CELLS))
-    return out.withColumn(out_col, serialized(F.col(digests_col), F.col(cells_col)))
+    new = {*(f"{n}_{what}" for n in texts for what in ("digests", "cells", "length", "fingerprint")), *(f"near_{a}_{b}" for a, b in pairs), "pairs"}
+    kept = [*by, *(c for c in keep if c not in new)]
+    rows = df.select(*kept, *(d.alias(f"{n}_digests") for n, d in texts.items()))
+    rows = with_tables(rows, by, {f"{n}_digests": f"{n}_cells" for n in texts})
+    both = [F.struct(F.col(f"{a}_digests").alias("a"), F.col(f"{b}_digests").alias("b"), F.lit(None).cast("bigint").alias("found")) for a, b in pairs]
+    rows = rows.withColumn("pairs", F.array(*both).cast(PAIRS))
+    for n in texts:
+        rows = rows.withColumn(f"{n}_fingerprint", serialized(F.size(f"{n}_digests"), F.col(f"{n}_cells"))).withColumn(f"{n}_length", length(F.col(f"{n}_digests"))).drop(f"{n}_digests")
+    rows = subtract_tables(rows, by, [(f"{a}_cells", f"{b}_cells") for a, b in pairs]).drop(*(f"{n}_cells" for n in texts))
+    rows = settle(rows, by)
+    near = [likeness(F.col("pairs")[i]["found"], F.col(f"{a}_length"), F.col(f"{b}_length")).alias(f"near_{a}_{b}") for i, (a, b) in enumerate(pairs)]
+    return rows.select(*kept, *(f"{n}_fingerprint" for n in texts), *near)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -198,30 +240,27 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the documents and their edited texts. Of rows that repeat an id, the smallest text is the one that others have as their next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    named = docs.filter("doc_id is not null")
-    ids = named.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
-    known = neighbours(ids).withColumnRenamed("doc_id", "id")
+    # The key by which texts are dealt, once, for both joins; rows without an id are dealt by their texts.
+    at = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
+    docs = docs.select(at.alias("at"), "text")
+    ids = docs.filter("not at.nameless").groupBy(F.col("at.id").alias("doc_id")).agg(F.max(F.char_length("text")).alias("n"))
+    named = lambda c: F.struct(F.lit(False).alias("nameless"), F.col(c).alias("id"))
+    known = neighbours(ids).select(named("doc_id").alias("of"), named("before_id").alias("before"), "before_n")
     # What the document before needs of a document: its first characters and its digests.
-    dealt = named.join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
-    following = dealt.select(
-        F.col("before_id").alias("for_id"),
-        F.left("text", F.floor(F.col("before_n") / 4).cast("int")).alias("start"),
-        digests(F.col("text")).alias("next_digests"),
-    ).dropDuplicates(["for_id"])
-    # The texts are dealt by id once, for both joins. A document without an id has no next one.
-    both = named.join(following.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "text", "start", "next_digests")
-    both = both.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)
+    dealt = docs.join(known.hint("shuffle_hash"), F.col("at") == F.col("of"))
+    start = F.left("text", F.floor(F.col("before_n") / 4).cast("int"))
+    following = dealt.select("before", F.struct(start.alias("start"), digests(F.col("text")).alias("digests")).alias("next")).groupBy("before").agg(F.min("next").alias("next"))
+    both = docs.join(following.hint("shuffle_hash"), F.col("at") == F.col("before"), "left")
     n = F.char_length("text")
-    both = both.withColumn("n_chars", n.cast("long")).withColumn("replaced", F.floor(n / 4).cast("int"))
-    both = both.withColumn(
-        "edited", F.concat(F.left("text", F.col("n_chars").cast("int") - F.col("replaced")), F.left(F.coalesce("start", F.lit("")), F.col("replaced")))
-    ).withColumn("edited_sha256", F.sha2("edited", 256))
-    both = fingerprints(both)
-    both = fingerprints(both, "edited", "edited_digests", "edited_cells", "edited_fingerprint")
-    both = both.withColumn("next_digests", F.coalesce("next_digests", F.array().cast("array<bigint>")))
-    both = both.withColumn("next_cells", build(F.col("next_digests"), BASE_CELLS))
-    pair = lambda other: likeness(*(F.col(c) for c in ("digests", f"{other}_digests", "cells", f"{other}_cells")))
-    return both.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", pair("edited").alias("near_edited"), pair("next").alias("near_next")
-    )
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.left("text", n - cut), F.left(F.coalesce(F.col("next.start"), F.lit("")), cut))
+    both = both.select("at", F.monotonically_increasing_id().alias("row_nr"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.digests").alias("next_digests"))
+    texts = {"own": digests(F.col("text")), "edited": digests(F.col("edited")), "next": F.coalesce("next_digests", F.array().cast(DIGESTS))}
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    out = compare_texts(both, ["at", "row_nr"], ["n_chars", "edited_sha256"], texts, [("own", "edited"), ("own", "next")])
+    return out.select(
+        F.when(~F.col("at.nameless"), F.col("at.id")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_fingerprint").alias("fingerprint"),
+        "edited_fingerprint", F.col("near_own_edited").alias("near_edited"), F.col("near_own_next").alias("near_next"),
+    )
