@@ -242,25 +242,24 @@ def neighbours(rows: DataFrame) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of the documents and their edited texts. Of rows that repeat an id, the smallest text is the one that others have as their next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    # The key by which texts are dealt, once, for both joins; rows without an id are dealt by their texts.
-    at = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"))
-    docs = docs.select(at.alias("at"), "text")
-    ids = docs.filter("not at.nameless").groupBy(F.col("at.id").alias("doc_id")).agg(F.max(F.char_length("text")).alias("n"))
-    named = lambda c: F.struct(F.lit(False).alias("nameless"), F.col(c).alias("id"))
-    known = neighbours(ids).select(named("doc_id").alias("of"), named("before_id").alias("before"), "before_n")
+    # The key by which texts are dealt, once, for both joins; rows without an id are dealt by their texts, and have no next one.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("at"), F.col("doc_id").isNull().alias("nameless"), "text")
+    ids = docs.filter("not nameless").groupBy(F.col("at").alias("doc_id")).agg(F.max(F.char_length("text")).alias("n"))
+    known = neighbours(ids).select(F.col("doc_id").alias("of"), F.col("before_id").alias("before"), "before_n")
     # What the document before needs of a document: its first characters and its digests.
     dealt = docs.join(known.hint("shuffle_hash"), F.col("at") == F.col("of"))
     start = F.left("text", F.floor(F.col("before_n") / 4).cast("int"))
-    following = dealt.select("before", F.struct(start.alias("start"), digests(F.col("text")).alias("digests")).alias("next")).groupBy("before").agg(F.min("next").alias("next"))
-    both = docs.join(following.hint("shuffle_hash"), F.col("at") == F.col("before"), "left")
+    following = dealt.select("before", F.when(~F.col("nameless"), F.struct(start.alias("start"), digests(F.col("text")).alias("digests"))).alias("next"))
+    following = following.groupBy("before").agg(F.min("next").alias("next"))
+    both = docs.join(following.hint("shuffle_hash"), (F.col("at") == F.col("before")) & ~F.col("nameless"), "left")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left(F.coalesce(F.col("next.start"), F.lit("")), cut))
-    both = both.select("at", F.monotonically_increasing_id().alias("row_nr"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.digests").alias("next_digests"))
+    both = both.select("at", "nameless", F.monotonically_increasing_id().alias("row_nr"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.digests").alias("next_digests"))
     texts = {"own": digests(F.col("text")), "edited": digests(F.col("edited")), "next": F.coalesce("next_digests", F.array().cast(DIGESTS))}
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    out = compare_texts(both, ["at", "row_nr"], ["n_chars", "edited_sha256"], texts, [("own", "edited"), ("own", "next")])
+    out = compare_texts(both, ["at", "row_nr"], ["nameless", "n_chars", "edited_sha256"], texts, [("own", "edited"), ("own", "next")])
     return out.select(
-        F.when(~F.col("at.nameless"), F.col("at.id")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_fingerprint").alias("fingerprint"),
+        F.when(~F.col("nameless"), F.col("at")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_fingerprint").alias("fingerprint"),
         "edited_fingerprint", F.col("near_own_edited").alias("near_edited"), F.col("near_own_next").alias("near_next"),
     )
