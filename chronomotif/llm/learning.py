@@ -11,19 +11,24 @@ SAMPLE_ROWS = 20_000
 FOLDS = 5
 
 
+def fold(id_col: str | Column) -> Column:
+    """A row's fold, from its id; fold 0 is held out. Rows without an id have none."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return (F.crc32(c.cast("string")) % FOLDS).cast("int")
+
+
 def held_out(id_col: str | Column) -> Column:
     """Whether a row belongs to the fold that no label is learned from."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.coalesce(F.crc32(c.cast("string")) % FOLDS == 0, F.lit(False))
+    return F.coalesce(fold(id_col) == 0, F.lit(False))
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, label`` of at most ``rows`` labelled documents outside the held-out fold."""
+    """``text, label, fold`` of at most ``rows`` labelled documents outside the held-out fold."""
     known = labels.filter(~held_out("doc_id") & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "known_id")
     texts = docs.select(F.col("doc_id").alias("of_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), F.col("of_id") == F.col("known_id")).select("text", "label")
+    return texts.join(F.broadcast(known), F.col("of_id") == F.col("known_id")).select("text", "label", fold("of_id").alias("fold"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -1,20 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 5).
 
-A word goes through a transducer of insults, a trie of word beginnings whose
-weights are learned from labels, and of closed lists for threats, targets,
-negation and reported speech. Small machines read the classes: how long a
-negation reaches, whether speech is reported, whether someone is addressed,
-whether an intent stands before an act of violence. Their composition reads a
-clause at a time, and every match counts under the context it was made in.
-Those counts, not words by themselves, are what is scored.
+A word goes through transducers to a symbol: of insults, a trie of word
+beginnings whose weights are learned from labels, and of closed lists for
+threats, targets, negation and reported speech. A clause of symbols goes
+through the grammar: small machines, composed, read it from the left (how long
+a negation or an intent reaches, whether someone was addressed, whether speech
+was reported) and from the right (whether either follows). At a match the
+states on both sides choose the arc, and the arc's weight, learned too, is
+what the match counts. Clauses without a match have no part in a score, and a
+word has none but by the arcs it is matched on.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomotif.llm.common import share_package, table
-from chronomotif.llm.learning import held_out, logistic, training_texts
+from chronomotif.llm.learning import FOLDS, held_out, logistic, training_texts
 
 # Closed word classes in English, French, German and Spanish.
 TARGETS = "you your yours yourself u he him she her they them these those people everyone tu toi vous ton votre il elle ils elles lui leur du dich dir sie ihr euch er ihm usted ustedes te ti él ella ellos ellas".split()
@@ -32,61 +33,113 @@ REPORTS = "said says say told tells called calls quoted quote wrote writes repor
 INTENTS = "will gonna going shall should must would want wanna i'll we'll vais va allons werde werden wird voy vamos va".split()
 VIOLENCE = "kill killed murder hurt destroy beat stab shoot burn hang strangle punch tuer frapper détruire töten umbringen schlagen matar golpear destruir".split()
 
-#: Letters of a word's beginning that the trie holds: fewest and most, and the mark of a word's end.
-LEAST_LETTERS, MOST_LETTERS, END = 3, 9, "$"
-#: A beginning is kept from so many toxic documents, that share of them, and so many units of log odds.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 6, 0.01, 4.5
+#: Letters of a word's beginning that the trie holds, and the mark of a word's end.
+LEAST_LETTERS, MOST_LETTERS, END = 3, 16, "$"
+#: Words of a text with one beginning that count for it.
+MOST_WORDS = 3
+#: Standard errors that a beginning's log odds are lowered by: what few texts show counts for little.
+ERRORS = 1.0
+#: Least weights of a beginning, of which cross-validation inside the training folds chooses one.
+LEAST_ODDS = (2.0, 2.5, 3.0, 3.5, 4.0)
 NEGATION_REACH, INTENT_REACH = 3, 3
 CLAUSE_END = re.compile(r"[.!?;:\n](?:\s|$)|\n")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-FEATURES = ("plain", "targeted", "negated", "reported", "threat", "most", "kinds", "density")
+#: A letter that is held: read as one.
+HELD = re.compile(r"([^\W\d_])\1{2,}")
+#: What a match can be, by its context; the arcs of the grammar.
+ARCS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted", "threat_reported")
+FEATURES = (*ARCS, "worst_clause", "matched_clauses", "matched_share")
 
 
 class Machine:
-    """A deterministic machine: ``step(state, symbol)`` gives the next state; ``state`` 0 is the first."""
+    """A deterministic machine over symbols: ``step(state, symbol)`` gives the next state; 0 is the first."""
 
-    def __init__(self, states: int, step):
+    def __init__(self, states: int, step: Callable[[int, str], int]):
         self.states, self.step = states, step
 
 
-def grammar() -> dict[tuple[int, str], tuple[int, tuple[int, int, int, int]]]:
-    """The composition: (state, symbol) to the next state and what each machine was in before it."""
-    machines = (
-        Machine(NEGATION_REACH + 1, lambda s, x: NEGATION_REACH if x == "N" else max(0, s - 1)),
-        Machine(2, lambda s, x: 1 if x == "R" else s),
-        Machine(2, lambda s, x: 1 if x == "T" else s),
-        Machine(INTENT_REACH + 1, lambda s, x: INTENT_REACH if x == "W" else max(0, s - 1)),
-    )
-    states = {s: k for k, s in enumerate(product(*(range(m.states) for m in machines)))}
-    return {(k, x): (states[tuple(m.step(a, x) for m, a in zip(machines, s, strict=True))], s) for s, k in states.items() for x in "NRTWIHO"}
+SYMBOLS = "NRTWIVO"  # negation, report, target, intent, insult, violence, other
+NEGATION = Machine(NEGATION_REACH + 1, lambda s, x: NEGATION_REACH if x == "N" else max(0, s - 1))
+INTENT = Machine(INTENT_REACH + 1, lambda s, x: INTENT_REACH if x == "W" else max(0, s - 1))
+REPORT = Machine(2, lambda s, x: 1 if x == "R" else s)
+TARGET = Machine(2, lambda s, x: 1 if x == "T" else s)
 
 
-CLASSES = {w: c for c, words in (("H", VIOLENCE), ("W", INTENTS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS)) for w in words}
+def compose(machines: tuple[Machine, ...]) -> tuple[list[dict[str, int]], list[tuple[int, ...]]]:
+    """The machines run side by side as one: its table (from a state and a symbol to the next state), and what each state is of every machine."""
+    every = list(product(*(range(m.states) for m in machines)))
+    number = {s: k for k, s in enumerate(every)}
+    table_ = [{x: number[tuple(m.step(a, x) for m, a in zip(machines, s, strict=True))] for x in SYMBOLS} for s in every]
+    return table_, every
+
+
+def arc(symbol: str, before: tuple[int, ...], after: tuple[int, ...]) -> str | None:
+    """The arc of a match between the states of (negation, intent, report, target) on its left and of (report, target) on its right."""
+    negated, intent, reported, aimed = before
+    if symbol == "I":
+        return "insult_negated" if negated else "insult_reported" if reported or after[0] else "insult_targeted" if aimed or after[1] else "insult"
+    if symbol == "V" and intent and not negated:
+        return "threat_reported" if reported or after[0] else "threat_targeted" if after[1] else "threat"
+    return None
+
+
+class Grammar:
+    """The composition, as tables: both sides' machines, and the arc for each symbol between two states."""
+
+    def __init__(self):
+        self.left, lefts = compose((NEGATION, INTENT, REPORT, TARGET))
+        self.right, rights = compose((REPORT, TARGET))
+        self.arcs = {(x, p, q): arc(x, a, b) for x in "IV" for p, a in enumerate(lefts) for q, b in enumerate(rights)}
+
+    def matches(self, symbols: list[str]) -> list[tuple[int, str]]:
+        """Places and arcs of a clause's matches."""
+        after, state = [0] * len(symbols), 0
+        for k in range(len(symbols) - 1, -1, -1):
+            after[k] = state
+            state = self.right[state][symbols[k]]
+        out, state = [], 0
+        for k, x in enumerate(symbols):
+            if x in "IV" and (found := self.arcs[x, state, after[k]]):
+                out.append((k, found))
+            state = self.left[state][x]
+        return out
+
+
+CLASSES = {w: c for c, words in (("V", VIOLENCE), ("W", INTENTS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS)) for w in words}
+#: Share of a match that a clause keeps in its context, where the worst clause is looked for.
+KEPT = {a: 0.25 if a.endswith(("_negated", "_reported")) else 1.0 for a in ARCS}
+
+
+def lowered(text: str) -> str:
+    """Lower-cased, held letters once."""
+    return HELD.sub(r"\1", text.lower())
 
 
 class Scorer:
-    """Features and scores of texts under a lexicon of weighted word beginnings."""
+    """Features and scores of texts under a lexicon of weighted word beginnings and the arcs' weights."""
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray | None = None):
         import ahocorasick
 
-        self.lexicon, self.weights, self.grammar = lexicon, weights, grammar()
+        self.lexicon, self.weights, self.grammar = lexicon, weights, Grammar()
         self.automaton = ahocorasick.Automaton()
         for w in {*(k.rstrip(END) for k in lexicon), *VIOLENCE}:
             self.automaton.add_word(w, len(w))
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[str, float]] = {}
 
-    def insult(self, word: str) -> float:
-        """The weight with which the trie accepts a word: the most of its states."""
+    def symbol(self, word: str) -> tuple[str, float]:
+        """A word's symbol and weight: the most that a state of the trie accepts it with, one for violence, none else."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
             lex = self.lexicon
-            found = max((lex.get(word[:k], 0.0) for k in range(LEAST_LETTERS, min(len(word), MOST_LETTERS) + 1)), default=0.0)
-            found = self.known[word] = max(found, lex.get(word + END, 0.0))
+            weight = max((lex.get(word[:k], 0.0) for k in range(LEAST_LETTERS, min(len(word), MOST_LETTERS) + 1)), default=0.0)
+            weight = max(weight, lex.get(word + END, 0.0))
+            found = ("I", weight) if weight else (CLASSES.get(word, "O"), float(word in VIOLENCE))
+            self.known[word] = found
         return found
 
     def clauses(self, low: str) -> Iterator[str]:
@@ -99,101 +152,154 @@ class Scorer:
             end = CLAUSE_END.search(low, at)
             stop = end.start() if end else len(low)
             begin = max(upto, 0)
-            for mark in ".!?;:\n":
-                begin = max(begin, low.rfind(mark, begin, start) + 1)
+            for before in CLAUSE_END.finditer(low, begin, start):
+                begin = before.end()
             upto = stop
             yield low[begin:stop]
 
     def features(self, text: str) -> list[float]:
-        low, g = text.lower(), self.grammar
-        sums = dict.fromkeys(FEATURES[:5], 0.0)
-        most, kinds = 0.0, set()
+        low = lowered(text)
+        sums = dict.fromkeys(ARCS, 0.0)
+        worst, matched = 0.0, 0
         for clause in self.clauses(low):
-            state, found, aimed = 0, [], 0
-            for word in WORD.findall(clause):
-                weight = self.insult(word)
-                symbol = "I" if weight else CLASSES.get(word, "O")
-                after, (negated, reported, _, intent) = g[state, symbol]
-                if symbol == "I":
-                    found.append((word, weight, negated, reported))
-                elif symbol == "H" and intent and not negated:
-                    sums["threat"] += 0.5 if reported else 1.0
-                aimed = g[after, "O"][1][2]
-                state = after
-            for word, weight, negated, reported in found:
-                sums["negated" if negated else "reported" if reported else "targeted" if aimed else "plain"] += weight
-                most = max(most, weight * (0.5 if negated or reported else 1.0))
-                kinds.add(word)
-        total = sum(sums.values())
-        return [*(math.log1p(v) for v in sums.values()), most, math.log1p(len(kinds)), math.log1p(1000 * total / (low.count(" ") + 10))]
+            read = [self.symbol(w) for w in WORD.findall(clause)]
+            found = self.grammar.matches([x for x, _ in read])
+            of = 0.0
+            for k, name in found:
+                sums[name] += read[k][1]
+                of += read[k][1] * KEPT[name]
+            worst, matched = max(worst, of), matched + bool(found)
+        share = matched / (1 + len(CLAUSE_END.findall(low))) if matched else 0.0
+        return [*(float(np.log1p(v)) for v in sums.values()), worst, float(np.log1p(matched)), share]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(-1, len(FEATURES))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return probabilities(x, self.weights)
 
 
-def beginnings(text: str) -> set[str]:
-    """Beginnings of a text's words, and the words with an end mark."""
-    out: set[str] = set()
-    for w in set(WORD.findall(text.lower())):
-        out.update(w[:k] for k in range(LEAST_LETTERS, min(len(w), MOST_LETTERS) + 1))
-        out.add(w + END)
-    return out
-
-
-def learn_lexicon(texts: DataFrame) -> dict[str, float]:
-    """Weighted word beginnings from ``text, label`` of a bounded sample."""
-
-    def counted(df: DataFrame, among: set[str] | None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n: Counter[str] = Counter()
-            for batch in batches:
-                for text in batch.column(0):
-                    found = beginnings(text.as_py())
-                    n.update(found if among is None else found & among)
-            for k in range(0, len(items := list(n.items())), 50_000):
-                part = items[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["w", "n"])
-
-        return df.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return {}
-    # At most 1 / LEAST_SHARE beginnings for each that a document has: bounded, as the sample is.
-    frequent = counted(texts.filter("label = 1"), None).filter(F.col("n") >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic)))
-    positive = {r["w"]: r["n"] for r in frequent.collect()}
-    negative = {r["w"]: r["n"] for r in counted(texts.filter("label = 0"), set(positive)).collect()}
-    odds = {w: math.log((n + 0.5) / (toxic + 1)) - math.log((negative.get(w, 0) + 0.5) / (clean + 1)) for w, n in positive.items()}
-    kept = {w: v for w, v in odds.items() if v >= LEAST_ODDS}
-    # Of beginnings that the same documents have, the longest; what then says no more than a shorter one is the same state of the trie.
-    same = {w[:k] for w in kept if w[-1] != END for k in range(LEAST_LETTERS, len(w)) if positive[w] >= 0.9 * positive.get(w[:k], math.inf)}
-    kept = {w: v for w, v in kept.items() if w not in same}
-    return {w: v for w, v in kept.items() if not any(kept.get(w[:k], 0.0) >= v - 0.7 for k in range(LEAST_LETTERS, len(w)))}
+def probabilities(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """The lexicon and the weights of the features, from labels outside the held-out fold."""
-    share_package(docs.sparkSession)
-    texts = training_texts(docs, labels, "toxic")
-    lexicon = learn_lexicon(texts)
+def beginnings(text: str) -> Counter[str]:
+    """Beginnings of a text's words, and the words with an end mark, by how many of its words have them, a few at most."""
+    out: Counter[str] = Counter()
+    for w in set(WORD.findall(lowered(text))):
+        out.update(w[:k] for k in range(LEAST_LETTERS, min(len(w), MOST_LETTERS) + 1))
+        out[w + END] += 1
+    return Counter({w: min(n, MOST_WORDS) for w, n in out.items()})
+
+
+def odds(positive, toxic: float, negative, clean: float) -> np.ndarray:
+    """Log odds of beginnings, lowered by their standard error."""
+    p, n = np.asarray(positive, float) + 0.5, np.asarray(negative, float) + 0.5
+    return np.log(p / (toxic + 1)) - np.log(n / (clean + 1)) - ERRORS * np.sqrt(1 / p + 1 / n)
+
+
+class Counts:
+    """Of the training texts, by fold: texts of each label, and words that begin in each way."""
+
+    def __init__(self, texts: DataFrame):
+        sizes = {(r["label"], r["fold"]): r["count"] for r in texts.groupBy("label", "fold").count().collect()}
+        self.texts = np.array([[sizes.get((label, f), 0) for f in range(1, FOLDS)] for label in (0, 1)])
+        toxic, clean = self.texts[1].sum(), self.texts[0].sum()
+        # Beginnings that would be kept if no clean text had them; of those, what clean texts have. The sample bounds both.
+        best = min(LEAST_ODDS) + float(np.log(toxic + 1) + np.log(0.5 / (clean + 1)))
+        found = counted(texts.filter("label = 1"), None, best) if toxic and clean else {}
+        among = list(found)
+        against = counted(texts.filter("label = 0"), set(among)) if among else {}
+        self.words = among
+        none = np.zeros(FOLDS - 1, np.int64)
+        self.n = np.array([[against.get(w, none), found[w]] for w in among]).reshape(-1, 2, FOLDS - 1)
+
+    def lexicon(self, least: float, without: int | None = None) -> dict[str, float]:
+        """Beginnings with at least so much weight, from all folds but one."""
+        use = [f - 1 for f in range(1, FOLDS) if f != without]
+        n, texts = self.n[:, :, use].sum(2), self.texts[:, use].sum(1)
+        weight = odds(n[:, 1], texts[1], n[:, 0], texts[0])
+        kept = {self.words[k]: (float(weight[k]), int(n[k, 1])) for k in np.flatnonzero((weight >= least) & (n[:, 1] > 0))}
+        # Of beginnings that the same words have, the longest; what then says no more than a shorter one is the same state of the trie.
+        same = {w[:k] for w, (_, m) in kept.items() if w[-1] != END for k in range(LEAST_LETTERS, len(w)) if m >= 0.9 * kept.get(w[:k], (0, np.inf))[1]}
+        out = {w: v for w, (v, _) in kept.items() if w not in same}
+        return {w: v for w, v in out.items() if not any(out.get(w[:k], 0.0) >= v - 0.7 for k in range(LEAST_LETTERS, len(w)))}
+
+
+def counted(df: DataFrame, among: set[str] | None, best: float | None = None) -> dict[str, np.ndarray]:
+    """Beginnings (of ``among``) to the number of words that have them, by fold; those whose log, less its error, is at least ``best``."""
+    sent = df.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(lexicon)
+        n: Counter[tuple[str, int]] = Counter()
         for batch in batches:
-            x = [scorer.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+            for text, f in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = beginnings(text.as_py())
+                n.update({(w, f): m for w, m in found.items() if sent.value is None or w in sent.value})
+        items = list(n.items())
+        for k in range(0, len(items), 50_000):
+            part = items[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for (w, _), _ in part], pa.string()), pa.array([f for (_, f), _ in part], pa.int32()), pa.array([m for _, m in part], pa.int64())], names=["w", "fold", "n"]
+            )
+
+    rows = df.select("text", "fold").mapInArrow(run, "w string, fold int, n long").groupBy("w").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(1, FOLDS)))
+    if best is not None:
+        total = sum((F.col(f"n{f}") for f in range(1, FOLDS)), F.lit(0.5))
+        rows = rows.filter(F.log(total) - ERRORS * F.sqrt(1 / total + 2) >= F.lit(best))
+    return {r["w"]: np.array(r[1:], np.int64) for r in rows.collect()}
+
+
+def _featured(texts: DataFrame, scorers: Callable[[int], list[dict[str, float]]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of every training text under each of several lexicons, which may depend on its fold; labels and folds."""
 
-    rows = texts.mapInArrow(run, "x array<double>, label int").collect()
-    x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
-    return lexicon, logistic(x, np.array([r["label"] for r in rows], float))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, list[Scorer]] = {}
+        for batch in batches:
+            x = []
+            for text, f in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                if f not in made:
+                    made[f] = [Scorer(lex) for lex in scorers(f)]
+                x.append([v for s in made[f] for v in s.features(text.as_py())])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
+
+    rows = texts.select("text", "label", "fold").mapInArrow(run, "x array<double>, label int, fold int").collect()
+    if not rows:
+        return [], np.empty(0), np.empty(0)
+    x = np.array([r["x"] for r in rows]).reshape(len(rows), -1, len(FEATURES))
+    return [x[:, k] for k in range(x.shape[1])], np.array([r["label"] for r in rows], float), np.array([r["fold"] for r in rows])
+
+
+def chosen_odds(texts: DataFrame, counts: Counts) -> float:
+    """The least weight of a beginning with which each training fold is told best by the others: by log loss, the larger of equals."""
+    lexicons = {f: [counts.lexicon(t, f) for t in LEAST_ODDS] for f in range(1, FOLDS)}
+    sent = texts.sparkSession.sparkContext.broadcast(lexicons)  # bounded by the sample
+    xs, y, folds = _featured(texts, lambda f: sent.value[f])
+    losses = []
+    for x in xs:
+        loss = 0.0
+        for f in range(1, FOLDS):
+            mine = folds == f
+            p = np.clip(probabilities(x[mine], logistic(x[~mine], y[~mine])), 1e-6, 1 - 1e-6)
+            loss -= (y[mine] * np.log(p) + (1 - y[mine]) * np.log(1 - p)).sum()
+        losses.append(round(loss, 6))
+    return max(t for t, loss in zip(LEAST_ODDS, losses, strict=True) if loss == min(losses))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """The lexicon and the weights of the arcs, from labels outside the held-out fold alone."""
+    share_package(docs.sparkSession)
+    texts = training_texts(docs, labels, "toxic")
+    counts = Counts(texts)
+    lexicon = counts.lexicon(chosen_odds(texts, counts)) if counts.words else {}
+    xs, y, _ = _featured(texts, lambda f: [lexicon])
+    return lexicon, logistic(xs[0] if xs else np.empty((0, len(FEATURES))), y)
 
 
 def score(df: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``df`` with a score from 0 to 1 for every row; a null text scores as an empty one.
 
-    All columns stay; one that has the name of ``out_col`` is replaced.
+    All columns stay; one that has the name of ``out_col`` is replaced. Equal
+    texts score alike, whatever their ids; repeated rows and null ids have a
+    row each, an empty table gives an empty result.
     """
     share_package(df.sparkSession)
     kept = [c for c in df.columns if c != out_col]

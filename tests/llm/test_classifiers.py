@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronomotif.llm import quality, toxicity
 
@@ -41,16 +42,40 @@ def test_toxicity_held_out(tables):
 
 def test_grammar_reads_context():
     s = toxicity.Scorer({"blort": 5.0})
-    f = lambda text: dict(zip(toxicity.FEATURES, s.features(text), strict=True))
-    assert f("a blortish thing")["plain"] > 0 and f("a blortish thing")["targeted"] == 0
-    assert f("you are a blortish thing")["targeted"] > 0
-    assert f("a blortish thing, you see")["targeted"] > 0
-    assert f("not a blortish thing")["negated"] > 0 and f("not one of all the many blortish")["negated"] == 0
-    assert f("she said blortish things")["reported"] > 0
-    assert f("I will kill it")["threat"] > 0 and f("kill it")["threat"] == 0
-    assert f("enblortish words. clean")["plain"] == 0
-    assert f("you see. A blort")["targeted"] == 0
-    assert s.features("") == s.features("nothing here at all")
+    f = lambda text: {k for k, v in zip(toxicity.FEATURES, s.features(text), strict=True) if v and k in toxicity.ARCS}
+    assert f("a blortish thing") == {"insult"}
+    assert f("you are a blortish thing") == f("a blortish thing, you see") == f("BLOOOORT you") == {"insult_targeted"}
+    assert f("not a blortish thing") == {"insult_negated"} and f("not one of all the many blortish") == {"insult"}
+    assert f("she said blortish things") == f('"you blort" she said') == f('"You blort!" she said.') == {"insult_reported"}
+    assert f("I will kill it") == {"threat"} and f("I will kill you") == {"threat_targeted"} and f("kill it") == set() == f("I will not kill it")
+    assert f("enblortish words. clean") == set()
+    assert f("you see. A blort") == {"insult"}
+    assert f("you blort. not a blort") == {"insult_targeted", "insult_negated"}
+    assert s.features("") == s.features("nothing here at all") == [0.0] * len(toxicity.FEATURES)
+    assert s.features("clean. " * 50_000 + "you blort")[-1] == pytest.approx(1 / 50_001)
+
+
+def test_composition_matches_plain_reading():
+    """The composed tables against definitions read straight off each clause."""
+    rnd, g = random.Random(5), toxicity.Grammar()
+    for _ in range(3_000):
+        x = [rnd.choice(toxicity.SYMBOLS) for _ in range(rnd.randint(0, 14))]
+        want = []
+        for k, c in enumerate(x):
+            negated, intent = "N" in x[max(0, k - toxicity.NEGATION_REACH) : k], "W" in x[max(0, k - toxicity.INTENT_REACH) : k]
+            rest = x[:k] + x[k + 1 :]
+            if c == "I":
+                want.append((k, "insult_negated" if negated else "insult_reported" if "R" in rest else "insult_targeted" if "T" in rest else "insult"))
+            if c == "V" and intent and not negated:
+                want.append((k, "threat_reported" if "R" in rest else "threat_targeted" if "T" in x[k + 1 :] else "threat"))
+        assert g.matches(x) == want
+
+
+def test_toxicity_ignores_held_out_labels(spark, tables):
+    docs, labels, _ = tables
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
+    assert a[0] == b[0] and np.allclose(a[1], b[1])
 
 
 def test_quality_held_out(tables):
