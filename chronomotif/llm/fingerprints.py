@@ -33,6 +33,7 @@ DIGESTS_PER_SLOT = 1.5
 BASE_STEPS, STEPS = 6, 9
 
 CELLS = "array<struct<cell:bigint,n:bigint,key:bigint,check:bigint>>"
+STORED = "array<struct<cell:tinyint,n:int,key:bigint,check:int>>"
 DIGESTS = "array<bigint>"
 PAIRS = f"array<struct<a:{DIGESTS},b:{DIGESTS},found:bigint>>"
 _BLANK, _WORD = rf"[^\S\n]{{0,{WORD_CHARS}}}+", rf"\S{{1,{WORD_CHARS}}}+"
@@ -187,14 +188,19 @@ def likeness(found: Column, a_length: Column, b_length: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(1.0 - found / F.when(both != 0, both))
 
 
+def stored(cells: Column) -> Column:
+    """Cells in fewer bytes: of check sums the high 32 bits, which is what a fingerprint shows."""
+    return F.transform(cells, lambda c: F.struct(c["cell"], c["n"], c["key"], F.shiftright(c["check"], 32).alias("check"))).cast(STORED)
+
+
 def serialized(n: Column, cells: Column) -> Column:
     """Number of digests and the cells of the fingerprint, as text."""
-    cell = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"]))
+    cell = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     return F.concat(n.cast("string"), F.lit("|"), F.array_join(F.transform(cells, cell), "|"))
 
 
-def compare_texts(df: DataFrame, by: list[str], keep: list[str], texts: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
-    """``by`` and the columns ``keep``, with ``<name>_fingerprint`` for each of ``texts`` (digests by name), and ``near_<a>_<b>`` for each of ``pairs``.
+def compare_texts(df: DataFrame, by: list[str], keep: list[str], texts: dict[str, Column], pairs: list[tuple[str, str]], shown: list[str] | None = None) -> DataFrame:
+    """``by`` and the columns ``keep``, with ``<name>_fingerprint`` for each of ``texts`` (digests by name; or for those ``shown``), and ``near_<a>_<b>`` for each of ``pairs``.
 
     Rows are told apart by ``by``, and lie best by its first column. Digests of
     null or empty texts are none; they are like each other and nothing else.
@@ -202,18 +208,21 @@ def compare_texts(df: DataFrame, by: list[str], keep: list[str], texts: dict[str
     Columns that aren't named in ``keep`` are left out, and so is one that has
     the name of a new one.
     """
-    new = {*(f"{n}_{what}" for n in texts for what in ("digests", "cells", "length", "fingerprint")), *(f"near_{a}_{b}" for a, b in pairs), "pairs"}
+    new = {*(f"{n}_{what}" for n in texts for what in ("digests", "cells", "length", "size", "fingerprint")), *(f"near_{a}_{b}" for a, b in pairs), "pairs"}
     kept = [*by, *(c for c in keep if c not in new)]
     rows = df.select(*kept, *(d.alias(f"{n}_digests") for n, d in texts.items()))
     rows = with_tables(rows, by, {f"{n}_digests": f"{n}_cells" for n in texts})
     both = [F.struct(F.col(f"{a}_digests").alias("a"), F.col(f"{b}_digests").alias("b"), F.lit(None).cast("bigint").alias("found")) for a, b in pairs]
     rows = rows.withColumn("pairs", F.array(*both).cast(PAIRS))
     for n in texts:
-        rows = rows.withColumn(f"{n}_fingerprint", serialized(F.size(f"{n}_digests"), F.col(f"{n}_cells"))).withColumn(f"{n}_length", length(F.col(f"{n}_digests"))).drop(f"{n}_digests")
-    rows = subtract_tables(rows, by, [(f"{a}_cells", f"{b}_cells") for a, b in pairs]).drop(*(f"{n}_cells" for n in texts))
+        rows = rows.withColumn(f"{n}_size", F.size(f"{n}_digests")).withColumn(f"{n}_length", length(F.col(f"{n}_digests"))).drop(f"{n}_digests")
+    rows = subtract_tables(rows, by, [(f"{a}_cells", f"{b}_cells") for a, b in pairs])
+    shown = list(texts) if shown is None else shown
+    # What is written for a fingerprint is its cells, shorter than their text.
+    rows = rows.select(*(c for c in rows.columns if not c.endswith("_cells") or c[:-6] not in texts), *(stored(F.col(f"{n}_cells")).alias(f"{n}_cells") for n in shown))
     rows = settle(rows, by)
     near = [likeness(F.col("pairs")[i]["found"], F.col(f"{a}_length"), F.col(f"{b}_length")).alias(f"near_{a}_{b}") for i, (a, b) in enumerate(pairs)]
-    return rows.select(*kept, *(f"{n}_fingerprint" for n in texts), *near)
+    return rows.select(*kept, *(serialized(F.col(f"{n}_size"), F.col(f"{n}_cells")).alias(f"{n}_fingerprint") for n in shown), *near)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -258,7 +267,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.select("at", "nameless", F.monotonically_increasing_id().alias("row_nr"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.digests").alias("next_digests"))
     texts = {"own": digests(F.col("text")), "edited": digests(F.col("edited")), "next": F.coalesce("next_digests", F.array().cast(DIGESTS))}
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    out = compare_texts(both, ["at", "row_nr"], ["nameless", "n_chars", "edited_sha256"], texts, [("own", "edited"), ("own", "next")])
+    out = compare_texts(both, ["at", "row_nr"], ["nameless", "n_chars", "edited_sha256"], texts, [("own", "edited"), ("own", "next")], ["own", "edited"])
     return out.select(
         F.when(~F.col("nameless"), F.col("at")).alias("doc_id"), "n_chars", "edited_sha256", F.col("own_fingerprint").alias("fingerprint"),
         "edited_fingerprint", F.col("near_own_edited").alias("near_edited"), F.col("near_own_next").alias("near_next"),
