@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="chronomotif-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -44,13 +47,35 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path of :func:`fresh_path` that is no longer read."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Where tables of :func:`materialize` lie, as long as their frames are held.
+_stored: dict[int, str] = {}
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables of :func:`materialize` that these frames read, once nothing reads them any more."""
+    for df in frames:
+        path = _stored.pop(id(df), None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key is heavy that more than this share of all rows have, of so many rows at least: heavy keys are fewer than one by the share.
+HEAVY_SHARE, HEAVY_ROWS = 1 / 1024, 1000
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """Of a table with a row and its count for each key, the heavy keys, few enough to broadcast; None where none is."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    heavy = counts.filter(F.col(n) > max(HEAVY_ROWS, int(total * HEAVY_SHARE))).select(key)
+    return F.broadcast(heavy) if heavy.limit(1).count() else None
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import materialize
+from chronomotif.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,9 +16,12 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones; the links become stars after few rounds, whatever the shape.
     """
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    mark = None
+    mark = before = None
     while True:
         links = materialize(links, "links")
+        if before is not None:
+            release(before)
+        before = links
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return links
