@@ -1,9 +1,11 @@
 """Token counts by a digest cache (operator 7).
 
 A text's count depends on its content and on the tokenizer alone, so counts are
-stored under the pair of digests. A run joins its digests to the store, encodes
-one representative of every digest that is missing, appends what it found, and
-joins again. Texts that are stored, or that repeat, are never encoded.
+stored under the pair of digests. Content is normalised first: a space mark and
+a space are the same to the tokenizer. A run joins its digests to the store,
+encodes one representative of every digest that is missing, appends what it
+found, and joins again. Texts that are stored, or that repeat, are never
+encoded, and where all are stored, no text is read for more than its digest.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, share_package, table, text_or_empty, tokenizer_path
-from chronomotif.llm.pieces import MODEL, encoder
+from chronomotif.llm.common import fresh_path, heavy_keys, materialize, share_package, table, text_or_empty, tokenizer_path
+from chronomotif.llm.pieces import MODEL, SPACE, encoder
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Part of the version digest; to change when the way of counting does.
-RULES = "plain-1"
+RULES = "plain-2"
+#: Missing digests up to which their table (50 bytes each) is sent to every task, and the texts stay where they are.
+BROADCAST_MISSING = 100_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -52,26 +56,42 @@ def count_tokens(
     share_package(spark)
     path = model or tokenizer_path(MODEL)
     version = tokenizer_digest(path)
-    texts = df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col).cast("string")).alias("text")).withColumn(
-        "digest", F.unhex(F.sha2("text", 256))
-    )
+    texts = df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col).cast("string")).alias("text"))
+    texts = texts.withColumn("digest", F.unhex(F.sha2(F.replace("text", F.lit(SPACE), F.lit(" ")), 256)))
     content = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    missing = content.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    missing = missing.join(stored_counts(spark, cache, version), "digest", "left_anti").withColumnRenamed("digest", "wanted")
-    # The texts stream past a table of digests, unsorted.
-    todo = texts.join(missing.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("wanted")), "left_semi")
+    # A row for each digest; a text that very many rows have is one row of it.
+    distinct = materialize(content.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "digests")
+    missing = distinct.join(stored_counts(spark, cache, version), "digest", "left_anti").select(F.col("digest").alias("wanted"), "first_id")
+    n_missing = missing.count()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        done: set[bytes] = set()  # rows that repeat an id with its text
         for batch in batches:
-            n = pa.array([enc.count(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([version] * batch.num_rows, pa.string()), batch.column(0), n], names=["tokenizer", "digest", "n_tokens"])
-
-    todo.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    return content.join(stored_counts(spark, cache, version), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
-
-
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), fresh_path(spark, "token-counts"))
+            digests, n = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in done:
+                    done.add(digest)
+                    digests.append(digest)
+                    n.append(enc.count(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), pa.array(digests, pa.binary()), pa.array(n, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
+
+    if n_missing:
+        # The texts stream past a table of digests, unsorted.
+        few = n_missing <= BROADCAST_MISSING
+        wanted = F.broadcast(missing) if few else missing.hint("shuffle_hash")
+        todo = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("wanted")), "left_semi")
+        todo.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    counts = stored_counts(spark, cache, version)
+    heavy = heavy_keys(distinct, "digest", "rows")
+    if heavy is None:
+        known = content.join(counts, "digest")
+    else:
+        often = F.broadcast(counts.join(heavy, "digest", "left_semi"))
+        known = content.join(often, "digest").unionByName(content.join(heavy, "digest", "left_anti").join(counts, "digest"))
+    return known.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """The counts of all documents; without a ``cache`` that outlives the session they start from an empty one."""
+    return count_tokens(table(spark, sf_dir, "documents"), cache or fresh_path(spark, "token-counts"))

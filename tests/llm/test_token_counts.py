@@ -1,6 +1,9 @@
+import pytest
+
+from chronomotif.llm import common, token_counts
 from chronomotif.llm.common import fresh_path, tokenizer_path
 from chronomotif.llm.pieces import MODEL, encoder
-from chronomotif.llm.token_counts import count_tokens
+from chronomotif.llm.token_counts import count_tokens, op7_token_counts
 
 
 def test_counts_and_cache(spark):
@@ -23,3 +26,29 @@ def test_counts_and_cache(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert count_tokens(df, fresh_path(spark, "cache")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_repeated_texts_are_encoded_once(spark, monkeypatch, broadcast):
+    """One text in a third of all rows, and a space mark in place of a space: one row of the cache each, right counts everywhere."""
+    monkeypatch.setattr(token_counts, "BROADCAST_MISSING", broadcast)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    enc = encoder(tokenizer_path(MODEL)).library
+    rows = [(k, "the same text") for k in range(40)] + [(100 + k, f"text number {k}") for k in range(60)] + [(7, "the same text"), (300, "a b"), (301, "a\u2581b"), (None, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cache = fresh_path(spark, "cache")
+    out = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in count_tokens(df, cache).collect()), key=str)
+    assert out == sorted(((i, len(t.encode()), len(enc.encode(t))) for i, t in rows), key=str)
+    assert spark.read.parquet(cache).count() == 62 == spark.read.parquet(cache).select("digest").distinct().count()
+
+
+def test_query_with_a_warm_cache_encodes_nothing(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text {k % 30} é") for k in range(90)] + [(500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cache = str(tmp_path / "cache")
+    first = op7_token_counts(spark, str(tmp_path), cache).collect()
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 31
+    monkeypatch.setattr(token_counts, "encoder", lambda path: None)
+    assert sorted(map(tuple, op7_token_counts(spark, str(tmp_path), cache).collect())) == sorted(map(tuple, first))
+    assert spark.read.parquet(cache).count() == 31
