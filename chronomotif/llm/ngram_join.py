@@ -18,6 +18,10 @@ partner and is done. Equal sets are one class. Within the documents of a token
 no list of all pairs is made: a few leaders meet all others, what links merges
 into components, and buckets that still hold several components go on with more
 leaders, those that had their turn gone. A pair in one component needs no test.
+
+A token is a shingle's hash cut to 40 bits and the bits that number the parts,
+45 at least: two different shingles of one pair of documents are taken for one
+with a chance of about n * m / 2**45, a millionth for sets of 5,000.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import materialize, share_package, shuffle_partitions, table, text_or_empty
+from chronomotif.llm.common import heavy_keys, materialize, release, share_package, shuffle_partitions, table, text_or_empty
 from chronomotif.llm.components import components
 
 WORDS = 5
@@ -42,6 +46,8 @@ FLUSH_TOKENS = 1_500_000
 WORDS_KEPT = 500_000
 #: Leaders of a bucket grow by this factor from round to round.
 LEADER_GROWTH = 8
+#: Bytes of text for a part of the token space and of the documents, and rows of a bucket that meet its leaders in one task.
+PART_BYTES, MEETING_ROWS = 16 << 20, 256
 
 _PACKED = "key int, kind int, ids binary, counts binary, a binary, b binary, c binary"
 _SETS = "doc_id long, n long, class_hash binary, q int, toks array<bigint>, second array<int>, third array<int>, bits array<bigint>"
@@ -319,12 +325,13 @@ def shingle_sets(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     """From ``doc_id, text``: by document its set's size and hash and, where it can have a partner, its shared tokens."""
     spark = texts.sparkSession
     share_package(spark)
-    parts = 2 * shuffle_partitions(spark)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), 32, -(-size // PART_BYTES))
     common = common_tokens(texts, parts, words)
     sent = spark.sparkContext.broadcast(common)  # 1 MB at most
     packed = texts.mapInArrow(lambda b: _pack(b, parts, words, sent.value[0]), _PACKED)
-    counted = packed.groupBy("key").applyInArrow(lambda key, t: _count(key, t, parts), _PACKED)
-    sets = counted.groupBy("key").applyInArrow(lambda t: _assemble(t, parts, percent, *sent.value), _SETS)
+    counted = packed.repartition(parts, "key").groupBy("key").applyInArrow(lambda key, t: _count(key, t, parts), _PACKED)
+    sets = counted.repartition(parts, "key").groupBy("key").applyInArrow(lambda t: _assemble(t, parts, percent, *sent.value), _SETS)
     return materialize(sets, "sets")
 
 
@@ -341,42 +348,80 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.withColumn("same", same).filter(100 * F.col("same") >= percent * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
 
 
-def join_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def join_sets(sets: DataFrame, percent: int = PERCENT, every_link: bool = False) -> DataFrame:
     """From distinct sets (``set_id, n, q, toks, second, third, bits``) to ``u, v``: sets and the smallest id of their component.
 
+    With ``every_link``, all links instead, each once, ``u`` the larger id.
+
     At the first token that two sets share in the first order, what can still
     follow bounds what they share in all, and so do the bits in which their
     parities differ; pairs that meet at no token where that is enough aren't
     made. The sets with the fewest tokens of their own lead first: they are the
-    most like the others.
+    most like the others. The rows of a large bucket meet its leaders in
+    several tasks.
     """
     spark = sets.sparkSession
     alone = F.col("n") - F.size("toks")
     words = [f"b{k}" for k in range(CLASSES // 64)]
     bucket = sets.select("set_id", "n", alone.alias("alone"), *(F.col("bits")[k].alias(b) for k, b in enumerate(words)), F.posexplode(F.slice("toks", 1, F.col("q"))).alias("at", "tok"))
-    bucket = bucket.select("tok", "set_id", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place"), *words)
-    several = lambda b, c: b.groupBy("tok").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).filter("lo <> hi").select("tok")
-    buckets = materialize(bucket.join(several(bucket, "set_id"), "tok", "left_semi").withColumn("comp", F.col("set_id")), "buckets")
+    bucket = bucket.select("tok", "set_id", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place"), *words, F.col("set_id").alias("comp"))
+
+    def several(b: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components (or sets, where every link is asked for), and in how many tasks they meet."""
+        c = "set_id" if every_link else "comp"
+        open_ = b.groupBy("tok").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
+        open_ = open_.select("tok", F.ceil(F.col("rows") / MEETING_ROWS).cast("int").alias("tasks"))
+        return materialize(b.drop("tasks").join(open_, "tok"), "buckets")
+
+    buckets = several(bucket)
     links = spark.createDataFrame([], "u long, v long")
-    leaders_of, labels = 1, links
+    leaders_of, labels, every = 1, links, []
     least = F.ceil(percent * (F.col("n") + F.col("lead_n")) / F.lit(100 + percent))
     reachable = 1 + F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"lead_{b}"))) for b in words), F.lit(0))
+    new = F.lit(True) if every_link else F.col("comp") != F.col("lead_comp")
     while buckets.limit(1).count():
         turn = F.pmod(F.xxhash64("set_id"), F.lit(leaders_of))
         leader = F.min(F.struct("alone", "set_id", "n", "comp", "place", *words)).alias("x")
-        leaders = buckets.groupBy("tok", turn.alias("turn")).agg(leader)
-        leaders = leaders.select("tok", *(F.col(f"x.{c}").alias(x) for c, x in (("set_id", "lead"), ("n", "lead_n"), ("comp", "lead_comp"), ("place", "lead_place"), *((b, f"lead_{b}") for b in words))))
-        meets = buckets.join(leaders, "tok").filter((F.col("comp") != F.col("lead_comp")) & (reachable >= least) & (apart <= F.col("n") + F.col("lead_n") - 2 * least))
+        leaders = buckets.groupBy("tok", turn.alias("turn")).agg(leader, F.max("tasks").alias("tasks"))
+        leaders = leaders.select("tok", "tasks", *(F.col(f"x.{c}").alias(x) for c, x in (("set_id", "lead"), ("n", "lead_n"), ("comp", "lead_comp"), ("place", "lead_place"), *((b, f"lead_{b}") for b in words))))
+        leaders = materialize(leaders, "leaders")
+        dealt = buckets.withColumn("task", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("tasks")).cast("int")).drop("tasks")
+        called = leaders.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+        meets = dealt.join(called, ["tok", "task"]).filter(new & (F.col("set_id") != F.col("lead")) & (reachable >= least) & (apart <= F.col("n") + F.col("lead_n") - 2 * least))
         pairs = meets.select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
         found = materialize(linked(pairs, sets, percent).select(F.col("b").alias("u"), F.col("a").alias("v")), "found")
-        labels = components(labels.unionAll(found))
-        left = buckets.join(leaders, (buckets["tok"] == leaders["tok"]) & (buckets["set_id"] == leaders["lead"]), "left_anti").drop("comp")
-        left = left.join(labels, F.col("set_id") == F.col("u"), "left").select(*bucket.columns, F.coalesce("v", "set_id").alias("comp"))
-        left = materialize(left, "left")
-        buckets = materialize(left.join(several(left, "comp"), "tok", "left_semi"), "buckets")
+        led = leaders.select(F.col("tok").alias("of"), "lead")
+        left = buckets.join(led, (F.col("tok") == F.col("of")) & (F.col("set_id") == F.col("lead")), "left_anti")
+        before = [buckets, leaders]
+        if every_link:
+            every.append(found)
+            left = materialize(left, "left")
+        else:
+            joined = components(labels.unionAll(found))
+            left = materialize(left.drop("comp").join(joined, F.col("set_id") == F.col("u"), "left").select(*(c for c in bucket.columns if c != "comp"), F.coalesce("v", "set_id").alias("comp")), "left")
+            before += [found, labels]
+            labels = joined
+        buckets = several(left)
+        release(*before, left)
         leaders_of *= LEADER_GROWTH
-    return labels
+    release(buckets)
+    for f in every:
+        links = links.unionAll(f)
+    return links.distinct() if every_link else labels
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows; by document its set's size, hash and tokens; and the distinct sets, each by the smallest id that has it."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col).cast("string")).alias("text"))
+    named = rows.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        named = named.groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = shingle_sets(named, words, percent)
+    live = sets.filter("toks is not null")
+    classes = live.groupBy("class_hash").agg(F.min("doc_id").alias("set_id"))
+    distinct = live.join(classes.select("set_id"), F.col("doc_id") == F.col("set_id")).select("class_hash", "set_id", "n", "q", "toks", "second", "third", "bits")
+    return rows, sets, materialize(distinct, "distinct-sets")
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -385,22 +430,42 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Links are between texts whose shingle sets have a Jaccard similarity of
     ``percent`` or more; a component's id is the smallest integer id in it. A
     null or empty text has no shingles and no links. Rows that repeat an id
-    are one document, the first text met standing for it. Rows with a null id
+    are one document, the smallest text standing for it. Rows with a null id
     are returned with null in the other columns. An empty table gives an empty
     result; other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col).cast("string")).alias("text"))
-    sets = shingle_sets(rows.filter("doc_id is not null"), words, percent)
-    live = sets.filter("toks is not null")
-    classes = live.groupBy("class_hash").agg(F.min("doc_id").alias("set_id"))
-    distinct = materialize(live.join(classes.select("set_id"), F.col("doc_id") == F.col("set_id")).select("set_id", "n", "q", "toks", "second", "third", "bits"), "distinct-sets")
+    rows, sets, distinct = _classes(df, id_col, text_col, words, percent)
     labels = join_sets(distinct, percent)
-    named = classes.join(labels, F.col("set_id") == F.col("u"), "left").select("class_hash", F.coalesce("v", "set_id").alias("component_id"))
+    named = distinct.select("class_hash", "set_id").join(labels, F.col("set_id") == F.col("u"), "left").select("class_hash", F.coalesce("v", "set_id").alias("component_id"))
+    live = sets.filter("toks is not null")
     # Documents without a class of their own here are alone.
     alone = sets.filter("toks is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    together = live.select("doc_id", F.col("n").alias("n_shingles"), "class_hash").join(named, "class_hash").drop("class_hash")
+    # Copies of one text may be very many: their class is sent to every task.
+    sizes = live.groupBy("class_hash").agg(F.count("*").alias("rows"))
+    heavy = heavy_keys(sizes, "class_hash", "rows")
+    small = live.select("doc_id", F.col("n").alias("n_shingles"), "class_hash")
+    if heavy is None:
+        together = small.join(named, "class_hash")
+    else:
+        often = F.broadcast(named.join(heavy, "class_hash", "left_semi"))
+        together = small.join(often, "class_hash").unionByName(small.join(heavy, "class_hash", "left_anti").join(named, "class_hash"))
     nameless = rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return together.unionByName(alone).unionByName(nameless)
+    return together.drop("class_hash").unionByName(alone).unionByName(nameless)
+
+
+def ngram_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link: ``doc_id, class_id`` for each document with words, and ``a, b``, the classes that are linked, ``a`` the smaller.
+
+    A class is the documents of one shingle set, its id the smallest of
+    theirs; documents of a class are all linked with one another, and with
+    all those of linked classes. Rows as for :func:`ngram_components`; those
+    with null ids are left out.
+    """
+    _, sets, distinct = _classes(df, id_col, text_col, words, percent)
+    links = join_sets(distinct, percent, every_link=True)
+    members = sets.filter("toks is not null").select("doc_id", "class_hash").join(distinct.select("class_hash", F.col("set_id").alias("class_id")), "class_hash")
+    alone = sets.filter("toks is null and n > 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    return members.select("doc_id", "class_id").unionByName(alone), links.select(F.col("v").alias("a"), F.col("u").alias("b"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

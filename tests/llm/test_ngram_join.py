@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chronomotif.llm import ngram_join
+from chronomotif.llm import common, ngram_join
 
 
 def sets_of(texts):
@@ -67,3 +67,35 @@ def test_odd_rows(spark):
     out = sorted((tuple(r) for r in ngram_join.ngram_components(df).collect()), key=str)
     assert out == [(1, 2, 1), (2, 2, 1), (None, None, None)]
     assert ngram_join.ngram_components(df.limit(0)).count() == 0
+
+
+def test_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEADER_GROWTH", 2)
+    monkeypatch.setattr(ngram_join, "MEETING_ROWS", 3)
+    texts = corpus(3)
+    members, links = ngram_join.ngram_links(spark.createDataFrame(texts, "doc_id long, text string"))
+    sets = sets_of(texts)
+    named = {i: s for i, s in sets.items() if s}
+    want = {i: min(j for j, t in named.items() if t == s) for i, s in named.items()}
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == want
+    reps = sorted(set(want.values()))
+    pairs = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 5
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    """Exact and near copies of one text, more than a task is given: the same components."""
+    monkeypatch.setattr(ngram_join, "MEETING_ROWS", 4)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    base = [f"w{k}" for k in range(60)]
+    near = [(k, " ".join([*base[:50], f"x{k}", f"y{k}"])) for k in range(60)]
+    texts = near + [(100 + k, " ".join(base)) for k in range(60)] + [(200 + k, f"other text of its own with number {k} at the end") for k in range(60)]
+    out = ngram_join.ngram_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(texts)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    texts = [(1, "b b c d e f g"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "b b c d e f g")]
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
