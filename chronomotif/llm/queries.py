@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomotif.llm import mixing, ngram_join, secrets
+from chronomotif.llm import chats, mixing, ngram_join, secrets
 from chronomotif.llm.chats import op8_chat_formatting
 from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.media import op9_media
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL, "op8_chat_formatting": chats.SQL}
