@@ -1,7 +1,8 @@
 """Quality by a factorisation machine (operator 6).
 
 The inputs of a text are its hashed words, weighted by how often they occur,
-and statistics of its structure and size. The machine has a weight for every
+statistics of its structure, and of its metadata the sizes (words, lines,
+characters a word); language, source and id are no inputs. The machine has a weight for every
 input and a low-rank vector for every input, whose products weigh pairs; the
 sum over all pairs is taken in linear time, as half the difference of the
 squared sums and the sums of squares.
@@ -24,6 +25,8 @@ from chronomotif.llm.learning import held_out, training_texts
 BUCKETS = 4096
 RANK = 8
 EPOCHS, BATCH, RATE = 8, 256, 0.03
+#: Labelled rows that the machine is fitted on at most; a row has no more inputs than there are buckets and statistics.
+SAMPLE_ROWS = 10_000
 WORDS_KEPT = 500_000
 STATISTICS = (
     "log_words", "word_length", "upper", "symbols", "digits", "beyond_ascii", "distinct", "top_word", "same_as_before",
@@ -54,9 +57,11 @@ def inputs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, size = len(words), max(len(text), 1)
     counts = Counter(words)
     lines = text.split("\n")
-    low = Counter(w.lower() for w in counts)
-    idx = np.fromiter((_hashes[w] for w in low), np.int32, len(low))
-    val = np.sqrt(np.fromiter((counts.get(w, 1) for w in low), np.float64, len(low)))
+    low: Counter[int] = Counter()
+    for w, times in counts.items():
+        low[_hashes[w.lower()]] += times
+    idx = np.fromiter(low.keys(), np.int32, len(low))
+    val = np.sqrt(np.fromiter(low.values(), np.float64, len(low)))
     val /= max(np.sqrt((val * val).sum()), 1e-9)
     m = max(n, 1)
     after = sum(a == b for a, b in zip(words, words[1:], strict=False))
@@ -156,14 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             cols = [pa.array([r[k].tobytes() for r in x], pa.binary()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, batch.column(1)], names=["a", "b", "c", "label"])
 
-    rows = training_texts(docs, labels, "quality").mapInArrow(run, "a binary, b binary, c binary, label int").collect()
+    rows = training_texts(docs, labels, "quality", SAMPLE_ROWS).mapInArrow(run, "a binary, b binary, c binary, label int").collect()
     rows.sort(key=lambda r: (bytes(r["c"]), bytes(r["a"]), r["label"]))  # whatever the order in which tasks end
     x = [(np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"], np.float64)) for r in rows]
     return train(x, np.array([r["label"] for r in rows], float))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row: 0 to 1, a null text as an empty one. Null ids and repeated rows have a row each; other columns are not read."""
+    """``doc_id, score`` for every row: 0 to 1, a null text as an empty one.
+
+    Null ids and repeated rows have a row each, equal texts score alike; an
+    empty table gives an empty result; other columns are not read.
+    """
     share_package(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(model)  # of one size, whatever the input
