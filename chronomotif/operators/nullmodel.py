@@ -59,9 +59,29 @@ def cell_moments(cells_: DataFrame) -> DataFrame:
     return sums.select("ref_key", "bins", "total", mean.alias("mean"), F.greatest(F.col("s2") / F.col("total") - mean * mean, F.lit(0.0)).alias("var"))
 
 
-def expectation(places: DataFrame, moments: DataFrame) -> DataFrame:
-    """``motif, ref_avg, ref_std, n_loc_tot, n_loc``: the exact mean and deviation of a reference's count."""
-    alike = places.groupBy("ref_key", "bins", "motif").agg(F.count("*").alias("places"), F.count_if(F.col("cnt") > 0).alias("hit"))
+def summed_cells(totals: DataFrame, hits: DataFrame) -> DataFrame:
+    """As :func:`cells`, from how many places there are (``ref_key, bins, n``) and those that are found (``ref_key, bins, cnt``): the others have none."""
+    found = hits.groupBy("ref_key", "bins", F.col("cnt").alias("value")).agg(F.count("*").alias("n"))
+    gone = found.groupBy("ref_key", "bins").agg(F.sum("n").alias("found"))
+    empty = totals.groupBy("ref_key", "bins").agg(F.sum("n").alias("n")).join(gone, ["ref_key", "bins"], "left")
+    empty = empty.select("ref_key", "bins", F.lit(0).cast("long").alias("value"), (F.col("n") - F.coalesce("found", F.lit(0))).alias("n"))
+    return found.unionByName(empty.filter("n > 0"))
+
+
+def alike_places(places: DataFrame) -> DataFrame:
+    """``ref_key, bins, motif, places, hit`` of all places (``ref_key, bins, motif, cnt``)."""
+    return places.groupBy("ref_key", "bins", "motif").agg(F.count("*").alias("places"), F.count_if(F.col("cnt") > 0).alias("hit"))
+
+
+def alike_summed(totals: DataFrame, hits: DataFrame) -> DataFrame:
+    """The same from totals (``ref_key, bins, motif, n``) and the places that are found."""
+    by = ["ref_key", "bins", "motif"]
+    found = hits.groupBy(*by).agg(F.count("*").alias("hit"))
+    return totals.groupBy(*by).agg(F.sum("n").alias("places")).join(found, by, "left").select(*by, "places", F.coalesce("hit", F.lit(0)).alias("hit"))
+
+
+def expectation(alike: DataFrame, moments: DataFrame) -> DataFrame:
+    """``motif, ref_avg, ref_std, n_loc_tot, n_loc``: the exact mean and deviation of a reference's count, from :func:`alike_places` or :func:`alike_summed`."""
     joined = alike.join(moments, ["ref_key", "bins"])
     return joined.groupBy("motif").agg(
         F.sum(F.col("places") * F.col("mean")).alias("ref_avg"),

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomotif.operators.adjacency import in_window, node_events
+from chronomotif.storage import saved
 
 
-def connected_sets(roots: DataFrame, adjacent: DataFrame, max_size: int) -> DataFrame:
-    """``root, ids, gap``: all sets of up to ``max_size`` events connected by ``adjacent``, each once, by its least id.
+def connected_sets(roots: DataFrame, adjacent: DataFrame, max_size: int | None) -> DataFrame:
+    """``root, ids, gap``: all sets of up to ``max_size`` events (None: of any size) connected by ``adjacent``, each once, by its least id.
 
     ``roots`` has ``event_id``, ``adjacent`` has ``a, b, gap`` within the time
     window. Every way to a set keeps its root, so sets are told apart within
@@ -17,11 +18,16 @@ def connected_sets(roots: DataFrame, adjacent: DataFrame, max_size: int) -> Data
     """
     both = adjacent.select("a", "b", "gap").unionAll(adjacent.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
     level = roots.select(F.col("event_id").alias("root"), F.array("event_id").alias("ids"), F.lit(0).cast("long").alias("gap"))
-    out = level
-    for _ in range(max_size - 1):
+    out, size = level, 1
+    while max_size is None or size < max_size:
         open_ends = level.select("root", "ids", "gap", F.explode("ids").alias("a")).withColumnRenamed("gap", "before")
         grown = open_ends.join(both, "a").filter((F.col("b") > F.col("root")) & ~F.array_contains("ids", F.col("b")))
         level = grown.groupBy("root", F.array_sort(F.concat("ids", F.array("b"))).alias("ids")).agg(F.min(F.greatest("before", "gap")).alias("gap"))
+        size += 1
+        if max_size is None:
+            level = saved(level, "sets-of-one-size")
+            if not level.limit(1).count():
+                break
         out = out.unionByName(level)
     return out
 
@@ -46,7 +52,7 @@ def described(sets: DataFrame, events: DataFrame, places: DataFrame) -> DataFram
     return full.select("root", "ids", "gap", "edges", F.forall(nodes, gapless).alias("valid"))
 
 
-def valid_sets(events: DataFrame, adjacent: DataFrame, comp: DataFrame, max_size: int, time_gap: int = 0) -> DataFrame:
+def valid_sets(events: DataFrame, adjacent: DataFrame, comp: DataFrame, max_size: int | None, time_gap: int = 0) -> DataFrame:
     """Described sets, the roots from within the time window, that are valid."""
     sets = connected_sets(in_window(events, time_gap), adjacent, max_size)
     return described(sets, events, ranked_nodes(events, comp)).filter("valid").drop("valid")

@@ -31,8 +31,10 @@ class MotifSpec:
     def __post_init__(self) -> None:
         if self.tw < 0 or self.time_gap < 0:
             raise ValueError("times can't be negative")
-        if not self.maximal and not self.max_size:
-            raise ValueError("max_size of 1 or more is needed")
+        if self.max_size is not None and self.max_size < 0:
+            raise ValueError("max_size is 0 or more")
+        # 0 is as large as there are; without maximal sets, that is every connected set of events.
+        self.max_size = self.max_size or None
         if self.hypothesis not in (0, 1, 2):
             raise ValueError("hypothesis is 0, 1 or 2")
         if self.seed is None and (self.references or self.shuffle >= 0):
@@ -67,17 +69,35 @@ def motif_counts(sets: DataFrame, node_types: DataFrame | None, spec: MotifSpec)
     return named.groupBy("motif").agg(F.sum("cnt").alias("count"), F.count("*").alias("n_loc"))
 
 
+def binned_edges(events: DataFrame, node_types: DataFrame | None, spec: MotifSpec) -> DataFrame:
+    """``src, dst, etype, w, bin, st, dt``: the typed edges within the time window and the bins, with the types of their ends."""
+    seen = adjacency.in_window(events, spec.time_gap)
+    limits = nullmodel.bin_limits(nullmodel.omit_heaviest(network.aggregate_net(seen), spec.weight_omit))
+    rows = nullmodel.with_bins(network.with_node_types(network.typed_net(seen), node_types).withColumn("ws", F.array("w")), limits)
+    return rows.withColumn("bin", F.col("bins")[0]).drop("ws", "bins")
+
+
 def places_with_counts(events: DataFrame, sets: DataFrame, node_types: DataFrame | None, spec: MotifSpec, length: int) -> DataFrame:
     """All places within the bins: ``edges, ws, bins, cnt, motif, ref_key``."""
     seen = adjacency.in_window(events, spec.time_gap)
-    net, tnet = network.aggregate_net(seen), network.typed_net(seen)
-    limits = nullmodel.bin_limits(nullmodel.omit_heaviest(net, spec.weight_omit))
+    limits = nullmodel.bin_limits(nullmodel.omit_heaviest(network.aggregate_net(seen), spec.weight_omit))
+    tnet = saved(network.with_node_types(network.typed_net(seen), node_types), "typed-net")
     space = nullmodel.with_bins(network.edge_sequences(tnet, length, spec.allow_multiple_event_types), limits)
-    counts = subgraphs.location_counts(sets)
-    places = space.join(counts, "edges", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    places = space.join(subgraphs.location_counts(sets), "edges", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     return network.with_motifs(places, node_types, spec.hypothesis)
 
 
+def counted_places(events: DataFrame, sets: DataFrame, node_types: DataFrame | None, spec: MotifSpec, length: int) -> tuple[DataFrame, DataFrame]:
+    """Places of up to two edges, not made but counted: totals (``motif, ref_key, bins, n``), and those found (``motif, ref_key, bins, cnt``)."""
+    bnet = saved(binned_edges(events, node_types, spec), "binned-net")
+    totals = network.keyed(network.place_totals(bnet, length, spec.allow_multiple_event_types), F.col("events"), spec.hypothesis)
+    counts = subgraphs.location_counts(sets)
+    if not spec.allow_multiple_event_types:
+        counts = counts.filter(F.forall("edges", lambda e: e["etype"] == F.col("edges")[0]["etype"]))
+    hits = network.with_motifs(network.placed(counts, bnet), node_types, spec.hypothesis)
+    return saved(totals.select("motif", "ref_key", "bins", "n"), "totals"), saved(hits.select("motif", "ref_key", "bins", "cnt"), "hits")
+
+
 def find_motifs(events: DataFrame, spec: MotifSpec, node_types: DataFrame | None = None) -> DataFrame:
     """The report: a row for each motif that is found or could be, by count."""
     spark: SparkSession = events.sparkSession
@@ -92,9 +112,14 @@ def find_motifs(events: DataFrame, spec: MotifSpec, node_types: DataFrame | None
     if spec.references is None:
         report = counts.select("count", null("double").alias("ref_avg"), null("double").alias("ratio"), null("double").alias("ref_std"), null("int").alias("n_ref"), null("int").alias("n_lt_ref"), null("double").alias("z_score"), null("long").alias("n_loc_tot"), "n_loc", null("double").alias("n_loc_ref"), "motif")
         return ordered(report)
-    places = saved(places_with_counts(events, sets, node_types, spec, length), "places")
-    cells = nullmodel.cells(places)
-    exact = nullmodel.expectation(places, nullmodel.cell_moments(cells)).withColumnRenamed("n_loc", "n_loc_in")
+    places = None
+    if spec.references == 0 and length <= 2:
+        totals, hits = counted_places(events, sets, node_types, spec, length)
+        cells, alike = nullmodel.summed_cells(totals, hits), nullmodel.alike_summed(totals, hits)
+    else:
+        places = saved(places_with_counts(events, sets, node_types, spec, length), "places")
+        cells, alike = nullmodel.cells(places), nullmodel.alike_places(places)
+    exact = nullmodel.expectation(alike, nullmodel.cell_moments(cells)).withColumnRenamed("n_loc", "n_loc_in")
     how = "right" if spec.compat else "full"
     both = counts.join(exact, "motif", how).withColumn("count", F.coalesce("count", F.lit(0)))
     if spec.references == 0:

@@ -138,6 +138,11 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sets, motifs.places_with_counts(events, sets, user_item_types(events), SPEC, 2)
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = user_item_events(spark, sf_dir)
+    return motifs.counted_places(events, motifs.find_sets(events, SPEC), user_item_types(events), SPEC, 2)
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = user_item_events(spark, sf_dir)
     return motifs.motif_counts(motifs.find_sets(events, SPEC), user_item_types(events), SPEC)
@@ -360,14 +365,14 @@ def location_totals_m2(spark, sf_dir):
 
 @query(_with(SPACE, "SELECT kept AS ref_key, bins, CAST(cnt AS BIGINT) AS value, count(*) AS n FROM pn GROUP BY ALL"))
 def null_cells(spark, sf_dir):
-    cells = nullmodel.cells(_places(spark, sf_dir)[1])
+    cells = nullmodel.summed_cells(*_counted(spark, sf_dir))
     return cells.withColumn("bins", F.array_join(F.transform("bins", lambda b: b.cast("string")), ","))
 
 
 @query(_with(SPACE, "SELECT typed AS motif, round(ref_avg, 6) AS ref_avg, round(ref_std, 6) AS ref_std, n_loc_tot, n_loc FROM ex"))
 def ref_expectation(spark, sf_dir):
-    places = saved(_places(spark, sf_dir)[1], "places")
-    out = nullmodel.expectation(places, nullmodel.cell_moments(nullmodel.cells(places)))
+    totals, hits = _counted(spark, sf_dir)
+    out = nullmodel.expectation(nullmodel.alike_summed(totals, hits), nullmodel.cell_moments(nullmodel.summed_cells(totals, hits)))
     return out.select("motif", F.round("ref_avg", 6).alias("ref_avg"), F.round("ref_std", 6).alias("ref_std"), "n_loc_tot", "n_loc")
 
 
