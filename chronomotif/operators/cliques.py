@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif.functions.numbering import numbered
 from chronomotif.operators.components import connected
 from chronomotif.operators.graphs import spanning_forest
 from chronomotif.sources.nets import Graph
 from chronomotif.storage import saved
 
 
+#: Distinct weights at most that a percolation looks at one by one.
+MOST_POINTS = 10_000
+
+
 def k_cliques(graph: Graph, k: int) -> DataFrame:
     """``clique``: sorted arrays of ``k`` nodes that all have edges, each once.
 
@@ -83,8 +88,7 @@ def clique_communities(cliques: DataFrame) -> DataFrame:
 def by_size(member: DataFrame, group: str) -> DataFrame:
     """``node, comm``: groups numbered from 0 by size, the largest first, then by their least node."""
     sizes = member.groupBy(group).agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    w = Window.orderBy(F.desc("n"), "first", group)  # a row for each community
-    return member.join(sizes.select(group, (F.row_number().over(w) - 1).cast("long").alias("comm")), group).select("node", "comm")
+    return member.join(numbered(sizes, [F.desc("n"), "first", group], "comm").select(group, "comm"), group).select("node", "comm")
 
 
 def component_communities(graph: Graph) -> DataFrame:
@@ -105,7 +109,10 @@ def evaluations(graph: Graph, kind: str = "weights", points: list[float] | int =
     edges; ``abslinear`` and ``fraclinear``: so many evenly spaced.
     """
     if kind == "weights":
-        return [r["w"] for r in graph.edges.select("w").distinct().orderBy("w").collect()]
+        found = [r["w"] for r in graph.edges.select("w").distinct().limit(MOST_POINTS + 1).collect()]
+        if len(found) > MOST_POINTS:
+            raise ValueError(f"the edges have more than {MOST_POINTS} weights: choose points of another kind")
+        return sorted(found)
     if kind == "abslist":
         return list(points)
     lo, hi = graph.edges.agg(F.min("w"), F.max("w")).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomotif.sources.nets import Graph
@@ -42,8 +42,8 @@ def susceptibility(member: DataFrame, n_nodes: int | None = None, all_giants: bo
 
 def chi(member: DataFrame) -> DataFrame:
     """One row, ``chi``: the squared sum of sizes by the sum of squared sizes, both without the giant."""
-    d = sizes(member).withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "comm"))).filter("place > 1")  # a row for each community
-    s = d.agg(F.sum("size").alias("a"), F.sum(F.col("size") * F.col("size")).alias("b"))
+    d = sizes(member).agg(F.sum("size").alias("a"), F.sum(F.col("size") * F.col("size")).alias("b"), F.max("size").alias("top"))
+    s = d.select((F.col("a") - F.col("top")).alias("a"), (F.col("b") - F.col("top") * F.col("top")).alias("b"))
     return s.select(F.when(F.col("b") > 0, F.col("a") * F.col("a") / F.col("b")).otherwise(0.0).alias("chi"))
 
 

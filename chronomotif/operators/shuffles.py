@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,8 @@ from chronomotif.operators.nullmodel import uniform
 
 #: Accepted swaps for each event.
 SWAPS = 10
+#: Tries for each of them, beyond which a shuffle is given up, aloud.
+MOST_TRIES = 100
 
 
 def permuted(df: DataFrame, key: list[str], value: list[str], seed: int, within: list[str] | None = None) -> DataFrame:
@@ -78,45 +81,62 @@ def faults(events: DataFrame) -> DataFrame:
         F.array(F.when(F.col("src") == F.col("dst"), "loop"), F.when(F.col("end") < F.col("start"), "ends before it starts"), F.when(F.col("n") > 1, "repeated id"))
     )
     single = rows.select("event_id", F.explode(faults_).alias("fault"))
-    by_id = Window.orderBy("event_id")
-    late = events.withColumn("before", F.lag("start").over(by_id)).filter("before > start").select("event_id", F.lit("out of order").alias("fault"))
+    # Each event and the one before it, by their places in the order of ids.
+    placed = numbered(events.select("event_id", "start"), ["event_id", "start"], "_n")
+    before = placed.select((F.col("_n") + 1).alias("_n"), F.col("start").alias("before"))
+    late = placed.join(before, "_n").filter("before > start").select("event_id", F.lit("out of order").alias("fault"))
     return single.unionByName(late)
 
 
 class _Timeline:
-    """Which events a node has at which times, for swaps that must not make them overlap."""
+    """Which events a node has at which times, in order of their starts, for swaps that must not make them overlap."""
 
     def __init__(self, e: pd.DataFrame):
         self.start, self.end = e["start"].to_numpy(np.int64).copy(), e["end"].to_numpy(np.int64).copy()
         self.src, self.dst = e["src"].to_numpy(), e["dst"].to_numpy()
-        self.at: dict[int, list[int]] = {}
-        for k in range(len(e)):
-            self.at.setdefault(self.src[k], []).append(k)
-            self.at.setdefault(self.dst[k], []).append(k)
+        self.longest = int((self.end - self.start).max()) if len(e) else 0
+        self.at: dict[int, list[tuple[int, int]]] = {}
+        for k in np.argsort(self.start, kind="stable").tolist():
+            for node in {self.src[k], self.dst[k]}:
+                self.at.setdefault(node, []).append((int(self.start[k]), k))
+        self.of = {node: np.array([k for _, k in rows]) for node, rows in self.at.items()}
 
     def fits(self, k: int, start: int, end: int, but: int) -> bool:
-        """Whether event ``k`` could have these times, events ``k`` and ``but`` aside."""
+        """Whether event ``k`` could have these times, events ``k`` and ``but`` aside: only those that start near can overlap."""
         for node in (self.src[k], self.dst[k]):
-            for x in self.at[node]:
-                if x != k and x != but and self.start[x] <= end and self.end[x] >= start:
+            rows = self.at[node]
+            for i in range(bisect_left(rows, (start - self.longest, -1)), len(rows)):
+                at, x = rows[i]
+                if at > end:
+                    break
+                if x != k and x != but and self.end[x] >= start:
                     return False
         return True
 
+    def _moved(self, k: int, start: int, end: int) -> None:
+        for node in {self.src[k], self.dst[k]}:
+            rows = self.at[node]
+            del rows[bisect_left(rows, (int(self.start[k]), k))]
+            insort(rows, (start, k))
+        self.start[k], self.end[k] = start, end
+
     def swap(self, a: int, b: int) -> bool:
         """Exchange the times of two events, if neither then overlaps another at its nodes."""
-        sa, ea, sb, eb = self.start[a], self.end[a], self.start[b], self.end[b]
+        sa, ea, sb, eb = (int(x) for x in (self.start[a], self.end[a], self.start[b], self.end[b]))
         shared = {self.src[a], self.dst[a]} & {self.src[b], self.dst[b]}
         if shared and sa <= eb and sb <= ea:
             return False
         if not (self.fits(a, sb, eb, b) and self.fits(b, sa, ea, a)):
             return False
-        self.start[a], self.end[a], self.start[b], self.end[b] = sb, eb, sa, ea
+        self._moved(a, sb, eb)
+        self._moved(b, sa, ea)
         return True
 
     def closeness(self, k: int, start: int) -> float:
         """Mean logarithm of the gaps from a start to the other events at the nodes of ``k``."""
-        gaps = [abs(int(self.start[x]) - int(start)) for node in (self.src[k], self.dst[k]) for x in self.at[node] if x != k]
-        return float(np.mean(np.log1p(gaps))) if gaps else 0.0
+        others = np.concatenate([self.of[node] for node in (self.src[k], self.dst[k])])
+        others = others[others != k]
+        return float(np.log1p(np.abs(self.start[others] - start)).mean()) if len(others) else 0.0
 
 
 def _chain(step: Callable[[_Timeline, np.ndarray, np.random.Generator, int], bool], seed: int):
@@ -127,7 +147,9 @@ def _chain(step: Callable[[_Timeline, np.ndarray, np.random.Generator, int], boo
         movable = np.concatenate([p for p in peers.values() if len(p) > 1]) if any(len(p) > 1 for p in peers.values()) else np.empty(0, int)
         etype = e["etype"].to_numpy()
         done = tried = 0
-        while len(movable) and done < SWAPS * len(e) and tried < 100 * SWAPS * len(e):
+        while len(movable) and done < SWAPS * len(e):
+            if tried >= MOST_TRIES * SWAPS * len(e):
+                raise ValueError(f"of {tried} exchanges tried only {done} leave no overlap, {SWAPS * len(e)} are asked for")
             a = int(rng.choice(movable))
             done += step(line, peers[etype[a]], rng, a)
             tried += 1

@@ -133,5 +133,5 @@ def merged_files(reports: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def distribution_median(df: DataFrame, column: str) -> DataFrame:
     """``df`` with ``median``: the first index at which the running sum of a distribution reaches one half."""
-    running = F.aggregate(column, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(-1).alias("at")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + 1).alias("k"), F.when((a["at"] < 0) & (a["s"] + x >= 0.5), a["k"]).otherwise(a["at"]).alias("at")))
+    running = F.aggregate(column, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(-1).alias("at")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + 1).alias("k"), F.when((a["at"] < 0) & (a["s"] + x >= 0.5 - 1e-12), a["k"]).otherwise(a["at"]).alias("at")))
     return df.withColumn("median", running["at"])

@@ -244,12 +244,12 @@ def motifs_static(spark, sf_dir):
         SETS2.replace("UNION ALL SELECT a || ',' || b, a, unnest([a, b]) FROM adj)", "WHERE false)")
         + """, mx AS (SELECT comp, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids, count(*) AS n FROM comp GROUP BY comp),
 ok AS (SELECT comp FROM (SELECT comp, node, max(place) - min(place) + 1 = count(*) AS ok FROM comp JOIN pl USING (event_id) GROUP BY comp, node) GROUP BY comp HAVING bool_and(ok))""",
-        "SELECT ids FROM mx JOIN ok USING (comp) WHERE n <= 4",
+        "SELECT ids FROM mx JOIN ok USING (comp)",
     )
 )
 def maximal_motifs(spark, sf_dir):
     events = user_item_events(spark, sf_dir)
-    return _ids(subgraphs.maximal_sets(events, components.maximal_subgraphs(events, TW), 4))
+    return _ids(subgraphs.maximal_sets(events, components.maximal_subgraphs(events, TW)))
 
 
 @query(_with(NAMED, "SELECT typed AS motif, CASE WHEN s2 IS NULL THEN 'CR' WHEN i2 = 0 AND j2 = 1 THEN 'CR' WHEN i2 = 0 THEN 'CRR' WHEN j2 = 1 THEN 'CRC' END AS roles FROM nm GROUP BY ALL"))
@@ -410,8 +410,8 @@ def sampled_references(spark, sf_dir):
 # --- networks -------------------------------------------------------------
 
 UV = EV + ", g AS (SELECT src AS u, dst AS v, CAST(count(*) AS DOUBLE) AS w FROM ev GROUP BY src, dst), bw AS (SELECT u, v, w FROM g UNION ALL SELECT v, u, w FROM g)"
-UV2 = UV + ", h AS (SELECT * FROM g WHERE w >= 2), hb AS (SELECT u, v FROM h UNION ALL SELECT v, u FROM h)"
-#: Trade between nations: items ordered from one and supplied by the other, where at least average.
+UV2 = UV + ", h AS (SELECT * FROM g), hb AS (SELECT u, v FROM h UNION ALL SELECT v, u FROM h)"
+#: Trade between nations: items ordered from one and supplied by the other; ``tr`` is the network thresholded at the mean weight.
 TRADE = """tr0 AS (SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, CAST(count(*) AS DOUBLE) AS w
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 tr AS (SELECT * FROM tr0 WHERE w >= (SELECT avg(w) FROM tr0))"""
@@ -422,12 +422,14 @@ def _net(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(net.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").cast("double").alias("w")))
 
 
-def _trade(spark: SparkSession, sf_dir: str) -> Graph:
+def _trade(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     rows = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = rows.filter("c_nationkey <> s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("u"), F.greatest("c_nationkey", "s_nationkey").alias("v")).agg(F.count("*").cast("double").alias("w"))
     pairs = saved(pairs, "trade")
+    if whole:
+        return Graph.of(pairs)
     mean = pairs.agg(F.avg("w").alias("m"))
     return Graph.of(pairs.crossJoin(F.broadcast(mean)).filter("w >= m").select("u", "v", "w"))
 
@@ -484,17 +486,19 @@ SELECT a.e, b.e AS f, round(sum(1.0 / (k - 1)), 6) AS w FROM nm a JOIN nm b ON a
     )
 )
 def line_graph(spark, sf_dir):
-    g = graphs.threshold(_net(spark, sf_dir), 2, keep_isolated=False)
-    return graphs.line_graph(g, weighted=True).select("e", "f", F.round("w", 6).alias("w"))
+    return graphs.line_graph(_net(spark, sf_dir), weighted=True).select("e", "f", F.round("w", 6).alias("w"))
 
 
-_STEPS = ", p(s, node, d) AS (SELECT u, u, 0 FROM (SELECT DISTINCT u FROM h ORDER BY u LIMIT 3) UNION SELECT p.s, hb.v, p.d + 1 FROM p JOIN hb ON hb.u = p.node WHERE p.d < 12), q AS (SELECT s AS start, node, min(d) AS dist FROM p GROUP BY s, node HAVING min(d) > 0)"
+#: Starts of paths, drawn from all nodes by a seed as the reference's samples are: those that SQL goes along too.
+PATH_SAMPLE, PATH_SEED = 12, 0
+_STEPS = f""", st AS (SELECT u AS s FROM (SELECT DISTINCT u FROM hb) ORDER BY ('0x' || substr(md5('{PATH_SEED}#' || u), 1, 8))::BIGINT, u LIMIT {PATH_SAMPLE}),
+p(s, node, d) AS (SELECT s, s, 0 FROM st UNION SELECT p.s, hb.v, p.d + 1 FROM p JOIN hb ON hb.u = p.node WHERE p.d < 9), q AS (SELECT s AS start, node, min(d) AS dist FROM p GROUP BY s, node HAVING min(d) > 0)"""
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graphs.threshold(_net(spark, sf_dir), 2, keep_isolated=False)
-    starts = g.edges.select(F.col("u").alias("node")).distinct().orderBy("node").limit(3)
-    return graphs.path_lengths(Graph(saved(g.edges), g.nodes), starts)
+    g = _net(spark, sf_dir)
+    g = Graph(saved(g.edges), saved(g.nodes))
+    return graphs.path_lengths(g, graphs.sampled_starts(g, PATH_SAMPLE, PATH_SEED))
 
 
 @query(_with(UV2 + _STEPS, "SELECT start, node, dist FROM q"))
@@ -521,7 +525,7 @@ SELECT u, v, w FROM h WHERE u IN (SELECT node FROM s2) AND v IN (SELECT node FRO
     )
 )
 def snowball(spark, sf_dir):
-    g = graphs.threshold(_net(spark, sf_dir), 2, keep_isolated=False)
+    g = _net(spark, sf_dir)
     return graphs.snowball(g, g.edges.agg(F.min("u").alias("node")), 2).edges
 
 
@@ -538,9 +542,9 @@ def mst_weight(spark, sf_dir):
     return forest.agg(F.sum("w").alias("weight"), F.count("*").alias("edges"))
 
 
-@query(_with(TRADE, "SELECT a.u AS a, a.v AS b, b.v AS c FROM tr a JOIN tr b ON a.v = b.u JOIN tr c ON c.u = a.u AND c.v = b.v"))
+@query(_with(TRADE, "SELECT a.u AS a, a.v AS b, b.v AS c FROM tr0 a JOIN tr0 b ON a.v = b.u JOIN tr0 c ON c.u = a.u AND c.v = b.v"))
 def triangles(spark, sf_dir):
-    c = cliques.k_cliques(_trade(spark, sf_dir), 3)
+    c = cliques.k_cliques(_trade(spark, sf_dir, whole=True), 3)
     return c.select(F.col("clique")[0].alias("a"), F.col("clique")[1].alias("b"), F.col("clique")[2].alias("c"))
 
 
@@ -548,11 +552,11 @@ def triangles(spark, sf_dir):
     _with(
         TRADE,
         """SELECT a.u || ',' || a.v || ',' || b.v AS clique, round(pow(a.w * b.w * c.w, 1 / 3.0), 6) AS intensity, least(a.w, b.w, c.w) AS least
- FROM tr a JOIN tr b ON a.v = b.u JOIN tr c ON c.u = a.u AND c.v = b.v""",
+ FROM tr0 a JOIN tr0 b ON a.v = b.u JOIN tr0 c ON c.u = a.u AND c.v = b.v""",
     )
 )
 def clique_intensity(spark, sf_dir):
-    g = _trade(spark, sf_dir)
+    g = _trade(spark, sf_dir, whole=True)
     rows = cliques.intensities(g, cliques.k_cliques(g, 3))
     return rows.select(F.array_join(F.transform("clique", lambda x: x.cast("string")), ",").alias("clique"), F.round("intensity", 6).alias("intensity"), "least")
 
@@ -577,7 +581,7 @@ _PARTS = UV2 + ", z(node, c) AS (SELECT DISTINCT u, u FROM hb UNION SELECT hb.v,
 
 
 def _partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cliques.component_communities(graphs.threshold(_net(spark, sf_dir), 2, keep_isolated=False))
+    return cliques.component_communities(_net(spark, sf_dir))
 
 
 @query(_with(_PARTS, "SELECT size, count(*) AS n FROM sz GROUP BY size"))
@@ -665,9 +669,9 @@ def cumulative_dist(spark, sf_dir):
     return stats.cumulative(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity").select("value", F.round("share", 9).alias("share"))
 
 
-@query(_with(TRADE, "SELECT a % 3 AS a, b % 3 AS b, sum(w) AS w FROM (SELECT least(u % 3, v % 3) AS a, greatest(u % 3, v % 3) AS b, w FROM tr WHERE u % 3 <> v % 3) GROUP BY 1, 2"))
+@query(_with(TRADE, "SELECT a % 3 AS a, b % 3 AS b, sum(w) AS w FROM (SELECT least(u % 3, v % 3) AS a, greatest(u % 3, v % 3) AS b, w FROM tr0 WHERE u % 3 <> v % 3) GROUP BY 1, 2"))
 def community_network(spark, sf_dir):
-    g = _trade(spark, sf_dir)
+    g = _trade(spark, sf_dir, whole=True)
     return communities.community_network(g, _modulo(g.nodes, 3))
 
 
@@ -675,7 +679,7 @@ def community_network(spark, sf_dir):
 
 
 #: Starts of paths over the whole network, drawn from all nodes, as the reference's ``maxSamples``; 0 for all.
-PATH_STARTS, PATH_SEED = 1000, 0
+PATH_STARTS = 1000
 
 
 def _whole_lengths(g: Graph) -> DataFrame:
@@ -703,11 +707,6 @@ def betweenness(spark, sf_dir):
     return graphs.betweenness(_trade(spark, sf_dir))
 
 
-@query()
-def edge_percolation(spark, sf_dir):
-    return cliques.edge_percolation(_net(spark, sf_dir), [2.0, 3.0], reverse=True)
-
-
 @query()
 def shuffled_times(spark, sf_dir):
     return shuffles.shuffle_times(user_item_events(spark, sf_dir), 5)

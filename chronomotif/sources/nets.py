@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomotif.functions.numbering import numbered
 from chronomotif.sources.events import _numbered_lines
 from chronomotif.sources.tables import inferred
+from chronomotif.storage import saved
 
 MATRICES = ("square", "upperdiag", "supperdiag", "lowerdiag", "slowerdiag")
 
@@ -78,7 +80,7 @@ def read_matrix(spark: SparkSession, path: str, kind: str = "square", directed:
     if kind not in MATRICES:
         raise ValueError(f"a matrix is one of {', '.join(MATRICES)}")
     lines = _numbered_lines(spark, path)
-    rows = lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("i"), "value")
+    rows = numbered(lines, ["line_no"], "i").select("i", "value")
     rows = rows.select("i", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "x"))
     shift = {"square": F.lit(0), "lowerdiag": F.lit(0), "slowerdiag": F.lit(0), "upperdiag": F.col("i"), "supperdiag": F.col("i") + 1}[kind]
     row = F.col("i") + 1 if kind == "slowerdiag" else F.col("i")
@@ -113,7 +115,7 @@ def write_edg(graph: Graph, path: str, header: bool = False) -> None:
 
 def _numbers(graph: Graph, start: int) -> DataFrame:
     """``node, n``: numbers in order of the nodes."""
-    return graph.nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1 + start).alias("n"))
+    return saved(numbered(graph.nodes.select("node"), ["node"], "n", start), "node-numbers")
 
 
 def _one_file(parts: list[DataFrame], path: str) -> None:
@@ -211,8 +213,8 @@ def write_properties(properties: DataFrame, path: str, sep: str = "\t") -> None:
 def read_communities(spark: SparkSession, path: str) -> DataFrame:
     """``node, comm``: the nodes of each line; communities are numbered by size, the largest first."""
     lines = _numbered_lines(spark, path).select("line_no", F.array_distinct(F.split(F.trim("value"), r"\s+")).alias("nodes"))
-    by_size = Window.orderBy(F.size("nodes").desc(), F.array_min("nodes"), "line_no")
-    return lines.select((F.row_number().over(by_size) - 1).cast("long").alias("comm"), "nodes").select(F.explode("nodes").alias("node"), "comm")
+    lines = lines.select(F.size("nodes").alias("n"), F.array_min("nodes").alias("first"), "line_no", "nodes")
+    return numbered(lines, [F.desc("n"), "first", "line_no"], "comm").select(F.explode("nodes").alias("node"), "comm")
 
 
 def write_communities(membership: DataFrame, path: str) -> None:
