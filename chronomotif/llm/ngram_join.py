@@ -369,9 +369,20 @@ def join_sets(sets: DataFrame, percent: int = PERCENT, every_link: bool = False)
     def several(b: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components (or sets, where every link is asked for), and in how many tasks they meet."""
         c = "set_id" if every_link else "comp"
+        b = b.drop("tasks")
         open_ = b.groupBy("tok").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
-        open_ = open_.select("tok", F.ceil(F.col("rows") / MEETING_ROWS).cast("int").alias("tasks"))
-        return materialize(b.drop("tasks").join(open_, "tok"), "buckets")
+        open_ = materialize(open_.select("tok", "rows", F.ceil(F.col("rows") / MEETING_ROWS).cast("int").alias("tasks")), "open")
+        heavy = heavy_keys(open_, "tok", "rows")
+        tasks = open_.drop("rows")
+        if heavy is None:
+            out = b.join(tasks, "tok")
+        else:
+            # Large buckets keep their rows where they are.
+            often = F.broadcast(tasks.join(heavy, "tok", "left_semi"))
+            out = b.join(often, "tok").unionByName(b.join(heavy, "tok", "left_anti").join(tasks, "tok"))
+        out = materialize(out, "buckets")
+        release(open_)
+        return out
 
     buckets = several(bucket)
     links = spark.createDataFrame([], "u long, v long")
