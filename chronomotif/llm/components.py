@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronomotif.llm.common import materialize, release
@@ -18,12 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     mark = before = None
     while True:
-        links = materialize(links, "links")
+        # How many links there are, and a sum of their hashes, come with the writing.
+        seen = Observation()
+        links = materialize(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "links")
         if before is not None:
             release(before)
         before = links
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        now = seen.get
+        if now == mark or not now["n"]:
             return links
         mark = now
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
