@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronomotif.operators.adjacency import next_events, within
@@ -19,9 +19,11 @@ def connected(edges: DataFrame) -> DataFrame:
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     mark = None
     while True:
-        links = saved(links, "components")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        # How many links there are, and a sum of their hashes, come with the writing.
+        seen = Observation()
+        links = saved(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "components")
+        now = seen.get
+        if now == mark or not now["n"]:
             break
         mark = now
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
