@@ -25,7 +25,7 @@ CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Part of the version digest; to change when the way of counting does.
 RULES = "plain-2"
 #: Missing digests up to which their table (50 bytes each) is sent to every task, and the texts stay where they are.
-BROADCAST_MISSING = 100_000
+BROADCAST_MISSING = 1_000
 
 
 def tokenizer_digest(path: str) -> str:
