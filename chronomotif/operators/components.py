@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronomotif.operators.adjacency import next_events, within
-from chronomotif.storage import saved
+from chronomotif.storage import released, saved
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,14 @@ def connected(edges: DataFrame) -> DataFrame:
     node's neighbours are gathered in one place.
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    mark = None
+    mark = before = None
     while True:
         # How many links there are, and a sum of their hashes, come with the writing.
         seen = Observation()
         links = saved(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")), "components")
-        now = seen.get
+        if before is not None:
+            released(before)
+        before, now = links, seen.get
         if now == mark or not now["n"]:
             break
         mark = now

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,4 +30,21 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
+
+
+#: Where tables of :func:`saved` lie, as long as their frames are held.
+_stored: dict[int, str] = {}
+
+
+def released(*frames: DataFrame) -> None:
+    """Remove the tables of :func:`saved` that these frames read, once nothing reads them any more."""
+    for df in frames:
+        path = _stored.pop(id(df), None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
