@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import weakref
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send a file to every worker; it is found there by :func:`shipped`."""
+    spark.sparkContext.addFile(path)
+
+
+def shipped(path: str) -> str:
+    """In a worker: the file's own place where the worker has it too, else the copy that was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import share_package, table, tokenizer_path
+from chronomotif.llm.common import share_package, ship, shipped, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -51,10 +51,10 @@ class PieceEncoder:
         self.score = [sp.get_score(i) for i in range(n)]
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.eos = sp.eos_id()
-        probe = [("a b", None), (" a  b ", None), ("", None)]
+        probe = ["a b", " a  b ", "", "\t\n\r a\u00a0b\u3000\u200b\ufeff", "\ufb01 e\u0301 \uff21 \u2460 \u00c5", "漢字かな 한글 İıẞ", "\u0000\u0001\ud7ff\U0010ffff"]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("the vocabulary joins text across a space mark or line break")
-        if any(sp.normalize(t) != (SPACE + t.replace(" ", SPACE) if t else "") for t, _ in probe):
+        if any(sp.normalize(t) != (SPACE + t.replace(" ", SPACE) if t else "") for t in probe):
             raise ValueError("the model rewrites its input beyond marking spaces")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -181,11 +181,12 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = model or tokenizer_path(MODEL)
     share_package(df.sparkSession)
+    ship(df.sparkSession, path)
     kind = df.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shipped(path))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

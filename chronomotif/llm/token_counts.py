@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, heavy_keys, materialize, share_package, table, text_or_empty, tokenizer_path
+from chronomotif.llm.common import fresh_path, heavy_keys, materialize, share_package, ship, shipped, table, text_or_empty, tokenizer_path
 from chronomotif.llm.pieces import MODEL, SPACE, encoder
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -55,6 +55,7 @@ def count_tokens(
     spark = df.sparkSession
     share_package(spark)
     path = model or tokenizer_path(MODEL)
+    ship(spark, path)
     version = tokenizer_digest(path)
     texts = df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col).cast("string")).alias("text"))
     texts = texts.withColumn("digest", F.unhex(F.sha2(F.replace("text", F.lit(SPACE), F.lit(" ")), 256)))
@@ -65,7 +66,7 @@ def count_tokens(
     n_missing = missing.count()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shipped(path))
         done: set[bytes] = set()  # rows that repeat an id with its text
         for batch in batches:
             digests, n = [], []

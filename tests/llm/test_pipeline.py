@@ -45,3 +45,27 @@ def test_stages(spark, tmp_path):
     for r in seen[4][2].collect():
         assert r["ids"] == [*enc.library.encode(kept[r["doc_id"]] or ""), enc.eos]
     assert corpus_pipeline.run(spark, path).count() == seen[4][2].count()
+
+
+def test_odd_tables(spark, tmp_path):
+    """No documents; then nulls everywhere, repeated rows, a very long text, and columns that have the operators' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, times long, secrets string, codes int"
+    for name, rows in (
+        ("none", []),
+        ("odd", [(1, "a b c d e f g", "en", "x", 0, 1, "s", 2)] * 2 + [(1, "another text of id one here", None, None, None, None, None, None), (2, "A b c d e f g", "en", None, 0, 1, "s", 2), (None, "a b c d e f g", "en", "x", 0, 1, "s", 2), (None, None, None, None, None, None, None, None), (3, "", "en", "x", 0, 1, "s", 2), (4, "long words " * 60_000, "en", "y", 0, 1, "s", 2)]),
+    ):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        at = spark.read.parquet(f"{path}/documents.parquet")
+        kept = []
+        for _, stage in corpus_pipeline.STAGES:
+            at = materialize(stage(spark, at, path), "odd")
+            kept.append(at)
+        if not rows:
+            assert all(k.count() == 0 for k in kept)
+            continue
+        assert all(k.columns == kept[0].columns for k in kept[:-1])
+        left = sorted((str(r["doc_id"]), str(r["text"])[:30]) for r in kept[1].collect())
+        assert left == sorted([("1", "a b c d e f g"), ("1", "another text of id one here"), ("None", "a b c d e f g"), ("None", "None"), ("3", ""), ("4", ("long words " * 3)[:30])])
+        assert kept[2].count() == len(left)
