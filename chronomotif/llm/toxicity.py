@@ -42,7 +42,11 @@ ERRORS = 1.0
 #: Least weights of a beginning, of which cross-validation inside the training folds chooses one.
 LEAST_ODDS = (2.0, 2.5, 3.0, 3.5, 4.0)
 NEGATION_REACH, INTENT_REACH = 3, 3
-CLAUSE_END = re.compile(r"[.!?;:\n](?:\s|$)|\n")
+#: Words that a worker keeps what it knows of, and counts that it keeps before it hands them on.
+WORDS_KEPT, COUNTS_KEPT = 10_000, 100_000
+CLAUSE_END = re.compile(r"[.!?;:](?=[ \n]|$)|\n")
+#: The same ends, but for the text's, as plain text.
+ENDS = (". ", "! ", "? ", "; ", ": ", "\n")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 #: A letter that is held: read as one.
 HELD = re.compile(r"([^\W\d_])\1{2,}")
@@ -112,7 +116,11 @@ KEPT = {a: 0.25 if a.endswith(("_negated", "_reported")) else 1.0 for a in ARCS}
 
 def lowered(text: str) -> str:
     """Lower-cased, held letters once."""
-    return HELD.sub(r"\1", text.lower())
+    low = text.lower()
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = c[1:] == c[:-1]
+    # Few texts hold a letter: the others needn't be searched for it.
+    return HELD.sub(r"\1", low) if (same[1:] & same[:-1]).any() else low
 
 
 class Scorer:
@@ -133,7 +141,7 @@ class Scorer:
         """A word's symbol and weight: the most that a state of the trie accepts it with, one for violence, none else."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 100_000:
+            if len(self.known) >= WORDS_KEPT:
                 self.known.clear()
             lex = self.lexicon
             weight = max((lex.get(word[:k], 0.0) for k in range(LEAST_LETTERS, min(len(word), MOST_LETTERS) + 1)), default=0.0)
@@ -152,13 +160,13 @@ class Scorer:
             end = CLAUSE_END.search(low, at)
             stop = end.start() if end else len(low)
             begin = max(upto, 0)
-            for before in CLAUSE_END.finditer(low, begin, start):
-                begin = before.end()
+            for mark in ENDS:
+                begin = max(begin, low.rfind(mark, begin, start) + 1)
             upto = stop
             yield low[begin:stop]
 
-    def features(self, text: str) -> list[float]:
-        low = lowered(text)
+    def features(self, low: str) -> list[float]:
+        """Of a text as :func:`lowered` gives it."""
         sums = dict.fromkeys(ARCS, 0.0)
         worst, matched = 0.0, 0
         for clause in self.clauses(low):
@@ -169,11 +177,11 @@ class Scorer:
                 sums[name] += read[k][1]
                 of += read[k][1] * KEPT[name]
             worst, matched = max(worst, of), matched + bool(found)
-        share = matched / (1 + len(CLAUSE_END.findall(low))) if matched else 0.0
+        share = matched / (1 + sum(map(low.count, ENDS))) if matched else 0.0
         return [*(float(np.log1p(v)) for v in sums.values()), worst, float(np.log1p(matched)), share]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, len(FEATURES))
+        x = np.array([self.features(lowered(t)) for t in texts]).reshape(-1, len(FEATURES))
         return probabilities(x, self.weights)
 
 
@@ -181,13 +189,26 @@ def probabilities(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def beginnings(text: str) -> Counter[str]:
-    """Beginnings of a text's words, and the words with an end mark, by how many of its words have them, a few at most."""
-    out: Counter[str] = Counter()
-    for w in set(WORD.findall(lowered(text))):
-        out.update(w[:k] for k in range(LEAST_LETTERS, min(len(w), MOST_LETTERS) + 1))
-        out[w + END] += 1
-    return Counter({w: min(n, MOST_WORDS) for w, n in out.items()})
+class Beginnings(dict):
+    """A word's beginnings, of some or of all, and the word with an end mark; kept for words that come again."""
+
+    def __init__(self, among: set[str] | None = None):
+        self.among = among
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        every = (*(word[:k] for k in range(LEAST_LETTERS, min(len(word), MOST_LETTERS) + 1)), word + END)
+        self[word] = found = every if self.among is None else tuple(w for w in every if w in self.among)
+        return found
+
+    def counts(self, text: str) -> dict[str, int]:
+        """By beginning, how many words of a text have it, a few at most."""
+        out: dict[str, int] = {}
+        for word in set(WORD.findall(lowered(text))):
+            for w in self[word]:
+                out[w] = out.get(w, 0) + 1
+        return {w: min(n, MOST_WORDS) for w, n in out.items()}
 
 
 def odds(positive, toxic: float, negative, clean: float) -> np.ndarray:
@@ -228,18 +249,21 @@ def counted(df: DataFrame, among: set[str] | None, best: float | None = None) ->
     """Beginnings (of ``among``) to the number of words that have them, by fold; those whose log, less its error, is at least ``best``."""
     sent = df.sparkSession.sparkContext.broadcast(among)
 
+    def flushed(n: Counter[tuple[str, int]]) -> pa.RecordBatch:
+        columns = [pa.array([w for w, _ in n], pa.string()), pa.array([f for _, f in n], pa.int32()), pa.array(n.values(), pa.int64())]
+        n.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["w", "fold", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple[str, int]] = Counter()
+        known = Beginnings(sent.value)
         for batch in batches:
             for text, f in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = beginnings(text.as_py())
-                n.update({(w, f): m for w, m in found.items() if sent.value is None or w in sent.value})
-        items = list(n.items())
-        for k in range(0, len(items), 50_000):
-            part = items[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for (w, _), _ in part], pa.string()), pa.array([f for (_, f), _ in part], pa.int32()), pa.array([m for _, m in part], pa.int64())], names=["w", "fold", "n"]
-            )
+                for w, m in known.counts(text.as_py()).items():
+                    n[w, f] += m
+                if len(n) >= COUNTS_KEPT:
+                    yield flushed(n)
+        yield flushed(n)
 
     rows = df.select("text", "fold").mapInArrow(run, "w string, fold int, n long").groupBy("w").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(1, FOLDS)))
     if best is not None:
@@ -258,7 +282,8 @@ def _featured(texts: DataFrame, scorers: Callable[[int], list[dict[str, float]]]
             for text, f in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
                 if f not in made:
                     made[f] = [Scorer(lex) for lex in scorers(f)]
-                x.append([v for s in made[f] for v in s.features(text.as_py())])
+                low = lowered(text.as_py())
+                x.append([v for s in made[f] for v in s.features(low)])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
 
     rows = texts.select("text", "label", "fold").mapInArrow(run, "x array<double>, label int, fold int").collect()

@@ -42,7 +42,7 @@ def test_toxicity_held_out(tables):
 
 def test_grammar_reads_context():
     s = toxicity.Scorer({"blort": 5.0})
-    f = lambda text: {k for k, v in zip(toxicity.FEATURES, s.features(text), strict=True) if v and k in toxicity.ARCS}
+    f = lambda text: {k for k, v in zip(toxicity.FEATURES, s.features(toxicity.lowered(text)), strict=True) if v and k in toxicity.ARCS}
     assert f("a blortish thing") == {"insult"}
     assert f("you are a blortish thing") == f("a blortish thing, you see") == f("BLOOOORT you") == {"insult_targeted"}
     assert f("not a blortish thing") == {"insult_negated"} and f("not one of all the many blortish") == {"insult"}
