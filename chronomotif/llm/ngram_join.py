@@ -42,8 +42,8 @@ PERCENT = 75
 #: It bears on the first order and on balance alone, not on the result.
 SAMPLE_DOCS, SAMPLE_COMMON, MOST_COMMON = 4096, 32, 65_536
 #: Tokens packed at once; words whose hashes a worker keeps.
-FLUSH_TOKENS = 1_500_000
-WORDS_KEPT = 500_000
+FLUSH_TOKENS = 1_000_000
+WORDS_KEPT = 200_000
 #: Leaders of a bucket grow by this factor from round to round.
 LEADER_GROWTH = 8
 #: Bytes of text for a part of the token space and of the documents, and rows of a bucket that meet its leaders in one task.
