@@ -276,14 +276,16 @@ def _featured(texts: DataFrame, scorers: Callable[[int], list[dict[str, float]]]
     """Features of every training text under each of several lexicons, which may depend on its fold; labels and folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, list[Scorer]] = {}
         for batch in batches:
-            x = []
-            for text, f in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
-                if f not in made:
-                    made[f] = [Scorer(lex) for lex in scorers(f)]
-                low = lowered(text.as_py())
-                x.append([v for s in made[f] for v in s.features(low)])
+            low, folds = [lowered(t.as_py()) for t in batch.column(0)], np.array(batch.column(2).to_pylist())
+            x: list[list[float]] = [[] for _ in low]
+            for f in np.unique(folds).tolist():
+                mine = np.flatnonzero(folds == f).tolist()
+                for lexicon in scorers(f):  # one automaton at a time is held
+                    scorer = Scorer(lexicon)
+                    for k in mine:
+                        x[k].extend(scorer.features(low[k]))
+                    del scorer
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
 
     rows = texts.select("text", "label", "fold").mapInArrow(run, "x array<double>, label int, fold int").collect()
