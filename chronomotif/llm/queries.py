@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomotif.llm import chats, mixing, ngram_join, secrets
+from chronomotif.llm import centroids, chats, filter_audit, mixing, ngram_join, secrets
+from chronomotif.llm.centroids import op13_centroids
 from chronomotif.llm.chats import op8_chat_formatting
+from chronomotif.llm.filter_audit import op12_filter_audit
 from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.media import op9_media
 from chronomotif.llm.mixing import op4_mixing
@@ -29,6 +31,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_media": op9_media,
     "op10_fingerprints": op10_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.SQL, "op3_ngram_join": ngram_join.SQL, "op4_mixing": mixing.SQL, "op8_chat_formatting": chats.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secrets": secrets.SQL,
+    "op3_ngram_join": ngram_join.SQL,
+    "op4_mixing": mixing.SQL,
+    "op8_chat_formatting": chats.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_centroids": centroids.SQL,
+}
