@@ -14,6 +14,7 @@ from chronomotif.llm.fingerprints import op10_fingerprints
 from chronomotif.llm.media import op9_media
 from chronomotif.llm.mixing import op4_mixing
 from chronomotif.llm.ngram_join import op3_ngram_join
+from chronomotif.llm.packing import op11_best_fit_packing
 from chronomotif.llm.pieces import op1_sentencepiece
 from chronomotif.llm.quality import op6_quality
 from chronomotif.llm.secrets import op2_secrets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_media": op9_media,
     "op10_fingerprints": op10_fingerprints,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroids": op13_centroids,
 }
@@ -40,6 +42,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": ngram_join.SQL,
     "op4_mixing": mixing.SQL,
     "op8_chat_formatting": chats.SQL,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_filter_audit": filter_audit.SQL,
     "op13_centroids": centroids.SQL,
 }
