@@ -166,8 +166,9 @@ def test_edge_cases(spark, types):
         motifs.find_motifs(spark.createDataFrame([(0, 1, 1, 7, 7, 1)], EVENTS), motifs.MotifSpec(tw=5, max_size=2))
     with pytest.raises(ValueError):
         motifs.find_motifs(spark.createDataFrame([(0, 1, 1, 7, 8, 42)], EVENTS), motifs.MotifSpec(tw=5, max_size=2), types)
-    with pytest.raises(ValueError):
-        motifs.MotifSpec(tw=5)
+    chain = spark.createDataFrame([(k, 3 * k, 3 * k, k, k + 1, 1) for k in range(6)], EVENTS)
+    sizes = [len(r["ids"]) for r in motifs.find_sets(chain, motifs.MotifSpec(tw=5)).collect()]
+    assert sorted(sizes) == sorted(n for n in range(1, 7) for _ in range(7 - n))
 
 
 def test_long_chain(spark):
