@@ -59,9 +59,10 @@ def format_chats(
     A span is ``start, end`` in code points of the window, end exclusive.
     Turns follow by number, null first, then role and text; repeated rows are
     repeated turns. Null roles and texts are empty. A row without a conversation
-    id is a conversation of its own, but for rows that are equal to it. A turn
-    larger than the budget has a window to itself; a system turn is one that
-    leads its conversation. An empty table gives an empty result; other columns
+    id is a conversation of its own, but for rows that are equal to it. A window
+    is over its budget only where a single turn is that with the system turn,
+    and then holds nothing else; a system turn is one that leads its
+    conversation. An empty table gives an empty result; other columns
     are not read.
 
     Budgets are in tokens of :data:`TOKEN` over all that is written, marks and
@@ -83,11 +84,11 @@ def format_chats(
     # sums[k]: tokens of the k first turns.
     running = lambda a, x: F.struct((a + x["tokens"]).alias("state"), (a + x["tokens"]).alias("out"))
     conv = conv.withColumn("sums", F.concat(F.array(F.lit(0).cast("long")), scan(F.col("t"), F.lit(0).cast("long"), running, "bigint")))
-    # back[k]: the turn with which the history of a window that starts at turn k begins.
+    # back[k]: the turn with which the history of a window that starts at turn k begins; it leaves room for turn k.
     conv = conv.withColumn(
         "back",
         F.expr(
-            f"transform(t, (x, k) -> k - size(filter(sequence(1, {history_turns}), j -> k - j >= led and sums[k] - sums[greatest(k - j, 0)] <= {history_tokens})))"
+            f"transform(t, (x, k) -> k - size(filter(sequence(1, {history_turns}), j -> k - j >= led and sums[k] - sums[greatest(k - j, 0)] <= {history_tokens} and sums[k + 1] - sums[greatest(k - j, 0)] <= free)))"
             if history_turns > 0
             else "transform(t, (x, k) -> k)"
         ),
@@ -190,7 +191,7 @@ s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS upto, coun
  CAST(max(CASE WHEN k = 0 AND role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS INT) AS led,
  max(CASE WHEN k = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_tokens FROM t),
 b AS (SELECT a.*, a.k - (SELECT count(*) FROM s h WHERE h.conv_id = a.conv_id AND h.k < a.k AND h.k >= a.k - {HISTORY_TURNS} AND h.k >= a.led
- AND (a.upto - a.tokens) - (h.upto - h.tokens) <= {HISTORY_TOKENS}) AS back FROM s a),
+ AND (a.upto - a.tokens) - (h.upto - h.tokens) <= {HISTORY_TOKENS} AND a.upto - (h.upto - h.tokens) <= {BUDGET} - a.lead_tokens) AS back FROM s a),
 g(conv_id, start) AS (SELECT conv_id, CASE WHEN any_value(n) = 1 THEN 0 ELSE any_value(led) END FROM b GROUP BY conv_id
  UNION ALL SELECT g.conv_id, min(e.k) FROM g JOIN b a ON a.conv_id = g.conv_id AND a.k = g.start JOIN b h ON h.conv_id = g.conv_id AND h.k = a.back
  JOIN b e ON e.conv_id = g.conv_id AND e.k > g.start AND e.upto - (h.upto - h.tokens) > {BUDGET} - e.lead_tokens GROUP BY g.conv_id, g.start),
