@@ -23,12 +23,13 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, label, fold`` of at most ``rows`` labelled documents outside the held-out fold."""
+    """``text, label, fold`` of at most ``rows`` labelled documents outside the held-out fold; of texts under one id, the least."""
     known = labels.filter(~held_out("doc_id") & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "known_id")
     texts = docs.select(F.col("doc_id").alias("of_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), F.col("of_id") == F.col("known_id")).select("text", "label", fold("of_id").alias("fold"))
+    one = texts.join(F.broadcast(known), F.col("of_id") == F.col("known_id")).groupBy("of_id", "label").agg(F.min("text").alias("text"))
+    return one.select("text", "label", fold("of_id").alias("fold"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
