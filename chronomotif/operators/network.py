@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronomotif.functions.canonical import basic, canonical, key, relabelled
 from chronomotif.operators.subgraphs import nodes_of
+from chronomotif.operators.triples import triple_totals
 from chronomotif.storage import saved
 
 
@@ -93,7 +94,7 @@ def with_node_types(tnet: DataFrame, node_types: DataFrame | None) -> DataFrame:
 
 
 def place_totals(bnet: DataFrame, max_len: int, mixed_types: bool = False) -> DataFrame:
-    """``ntypes, events, bins, n``: how many places of one or two edges look alike, without making them.
+    """``ntypes, events, bins, n``: how many places of up to three edges look alike, without making them.
 
     ``bnet`` has ``src, dst, etype, bin, st, dt``. Pairs of edges at a node are
     counted from how many edges of each kind it has; pairs between the same two
@@ -105,8 +106,10 @@ def place_totals(bnet: DataFrame, max_len: int, mixed_types: bool = False) -> Da
     one = one.select(F.array("st", "dt").alias("ntypes"), F.array(event(0, 1, "etype")).alias("events"), F.array("bin").alias("bins"), "n")
     if max_len == 1:
         return one
-    if max_len > 2:
-        raise ValueError("places of more than two edges are made, not counted")
+    if max_len > 3:
+        raise ValueError("places of more than three edges are made, not counted")
+    if max_len == 3:
+        return place_totals(bnet, 2, mixed_types).unionByName(triple_totals(bnet, mixed_types))
     kind = ["c"] if not mixed_types else []
     named = bnet.withColumnRenamed("etype", "c")
     out = named.groupBy(F.col("src").alias("node"), F.col("st").alias("centre"), "c", "bin", F.col("dt").alias("far")).agg(F.count("*").alias("n"))
@@ -141,14 +144,23 @@ def place_totals(bnet: DataFrame, max_len: int, mixed_types: bool = False) -> Da
     return rows.groupBy("ntypes", "events", "bins").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def placed(counts: DataFrame, bnet: DataFrame) -> DataFrame:
-    """Places of one or two edges that are found (``edges, cnt``), with ``bins`` and ``ts``; those with an edge outside all bins are left out."""
-    side = lambda k: bnet.select(F.struct("src", "dst", "etype").alias(f"e{k}"), F.col("bin").alias(f"b{k}"), F.col("st").alias(f"s{k}"), F.col("dt").alias(f"d{k}"))
-    rows = counts.withColumn("e0", F.col("edges")[0]).withColumn("e1", F.get("edges", F.lit(1))).join(side(0), "e0").join(side(1), "e1", "left").filter("e1 is null or b1 is not null")
-    two = F.col("e1").isNotNull()
-    bins = F.when(two, F.array("b0", "b1")).otherwise(F.array("b0"))
-    ts = F.when(two, F.array("s0", "d0", "s1", "d1")).otherwise(F.array("s0", "d0"))
-    return rows.select("edges", "cnt", bins.alias("bins"), ts.alias("ts"))
+def placed(counts: DataFrame, bnet: DataFrame, max_len: int = 2) -> DataFrame:
+    """Places of up to ``max_len`` edges that are found (``edges, cnt``), with ``bins`` and ``ts``.
+
+    Those with an edge outside all bins are left out, and those in whose order
+    an edge meets none before it.
+    """
+    side = lambda k: bnet.select(F.struct("src", "dst", "etype").alias(f"e{k}"), F.struct("bin", "st", "dt").alias(f"x{k}"))
+    meets = F.forall(F.sequence(F.lit(1), F.size("edges")), lambda k: (k == 1) | F.exists(F.slice("edges", 1, k - 1), lambda e: _touches(e, F.get("edges", k - 1))))
+    rows = counts.filter(meets)
+    for k in range(max_len):
+        rows = rows.withColumn(f"e{k}", F.get("edges", F.lit(k))).join(side(k), f"e{k}", "left").filter(f"e{k} is null or x{k} is not null")
+    seen = F.slice(F.array(*(f"x{k}" for k in range(max_len))), 1, F.size("edges"))
+    return rows.select("edges", "cnt", F.transform(seen, lambda x: x["bin"]).alias("bins"), F.flatten(F.transform(seen, lambda x: F.array(x["st"], x["dt"]))).alias("ts"))
+
+
+def _touches(a: Column, b: Column) -> Column:
+    return (a["src"] == b["src"]) | (a["src"] == b["dst"]) | (a["dst"] == b["src"]) | (a["dst"] == b["dst"])
 
 
 def untyped(places: DataFrame) -> DataFrame:

@@ -88,13 +88,13 @@ def places_with_counts(events: DataFrame, sets: DataFrame, node_types: DataFrame
 
 
 def counted_places(events: DataFrame, sets: DataFrame, node_types: DataFrame | None, spec: MotifSpec, length: int) -> tuple[DataFrame, DataFrame]:
-    """Places of up to two edges, not made but counted: totals (``motif, ref_key, bins, n``), and those found (``motif, ref_key, bins, cnt``)."""
+    """Places of up to three edges, not made but counted: totals (``motif, ref_key, bins, n``), and those found (``motif, ref_key, bins, cnt``)."""
     bnet = saved(binned_edges(events, node_types, spec), "binned-net")
     totals = network.keyed(network.place_totals(bnet, length, spec.allow_multiple_event_types), F.col("events"), spec.hypothesis)
     counts = subgraphs.location_counts(sets)
     if not spec.allow_multiple_event_types:
         counts = counts.filter(F.forall("edges", lambda e: e["etype"] == F.col("edges")[0]["etype"]))
-    hits = network.with_motifs(network.placed(counts, bnet), node_types, spec.hypothesis)
+    hits = network.with_motifs(network.placed(counts, bnet, length), node_types, spec.hypothesis)
     return saved(totals.select("motif", "ref_key", "bins", "n"), "totals"), saved(hits.select("motif", "ref_key", "bins", "cnt"), "hits")
 
 
@@ -113,7 +113,7 @@ def find_motifs(events: DataFrame, spec: MotifSpec, node_types: DataFrame | None
         report = counts.select("count", null("double").alias("ref_avg"), null("double").alias("ratio"), null("double").alias("ref_std"), null("int").alias("n_ref"), null("int").alias("n_lt_ref"), null("double").alias("z_score"), null("long").alias("n_loc_tot"), "n_loc", null("double").alias("n_loc_ref"), "motif")
         return ordered(report)
     places = None
-    if spec.references == 0 and length <= 2:
+    if spec.references == 0 and length <= 3:
         totals, hits = counted_places(events, sets, node_types, spec, length)
         cells, alike = nullmodel.summed_cells(totals, hits), nullmodel.alike_summed(totals, hits)
     else:
