@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +119,51 @@ def sampled(places: DataFrame, cells_: DataFrame, references: int, seed: int) ->
     return drawn.groupBy("motif", "ref").agg(F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("hit"))
 
 
+#: Motifs whose references a worker sums before it hands them on.
+MOTIFS_HELD = 64
+
+
+def drawn_by_cell(alike: DataFrame, cells_: DataFrame, references: int, seed: int) -> DataFrame:
+    """``motif, ref, total, hit``: references as :func:`sampled` draws them, but for all places of a motif in a cell at once.
+
+    Places that draw a count each from their cell's histogram draw together how
+    often each count comes: a multinomial. So a row is a motif in a cell,
+    however many places it has there, and its references come from a generator
+    whose seed is the row's own, whatever task it is in. ``alike`` has
+    ``ref_key, bins, motif, places``.
+    """
+    by = ["ref_key", "bins"]
+    table = cells_.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("histogram"))
+    name = F.concat_ws("#", F.lit(str(seed)), "ref_key", F.array_join(F.transform("bins", lambda b: b.cast("string")), ","), "motif")
+    # Counts other than none come first: what is left over is no count.
+    ordered = F.concat(F.filter("histogram", lambda h: h["value"] > 0), F.filter("histogram", lambda h: h["value"] == 0))
+    rows = alike.join(table, by).select("motif", "places", name.alias("name"), F.transform(ordered, lambda h: h["value"]).alias("values"), F.transform(ordered, lambda h: h["n"]).alias("ns"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(held, pa.string()), *(pa.array([sums[k] for sums in held.values()], pa.list_(pa.int64())) for k in (0, 1))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["motif", "totals", "hits"])
+
+        for batch in batches:
+            for motif, places, name, values, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                generator = np.random.Generator(np.random.Philox(int.from_bytes(hashlib.sha256(name.encode()).digest()[:16], "little")))
+                shares, values = np.array(ns, float) / sum(ns), np.array(values, np.int64)
+                times = generator.multinomial(places, shares, size=references)
+                sums = held.setdefault(motif, np.zeros((2, references), np.int64))
+                sums[0] += times @ values
+                sums[1] += times[:, values > 0].sum(1)
+                if len(held) > MOTIFS_HELD:
+                    yield flushed()
+        yield flushed()
+
+    parts = rows.mapInArrow(draw, "motif string, totals array<long>, hits array<long>")
+    each = parts.select("motif", F.posexplode(F.arrays_zip("totals", "hits")).alias("at", "x"))
+    return each.groupBy("motif", (F.col("at") + 1).alias("ref")).agg(F.sum("x.totals").alias("total"), F.sum("x.hits").alias("hit"))
+
+
 def statistics(counts: DataFrame, samples: DataFrame, references: int) -> DataFrame:
     """``motif`` and the reference columns of a report, from counts (``motif, count``) and sampled references."""
     both = counts.join(samples, "motif", "left")

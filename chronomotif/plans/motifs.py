@@ -112,8 +112,7 @@ def find_motifs(events: DataFrame, spec: MotifSpec, node_types: DataFrame | None
     if spec.references is None:
         report = counts.select("count", null("double").alias("ref_avg"), null("double").alias("ratio"), null("double").alias("ref_std"), null("int").alias("n_ref"), null("int").alias("n_lt_ref"), null("double").alias("z_score"), null("long").alias("n_loc_tot"), "n_loc", null("double").alias("n_loc_ref"), "motif")
         return ordered(report)
-    places = None
-    if spec.references == 0 and length <= 3:
+    if length <= 3:
         totals, hits = counted_places(events, sets, node_types, spec, length)
         cells, alike = nullmodel.summed_cells(totals, hits), nullmodel.alike_summed(totals, hits)
     else:
@@ -125,7 +124,8 @@ def find_motifs(events: DataFrame, spec: MotifSpec, node_types: DataFrame | None
     if spec.references == 0:
         both = both.withColumn("n_ref", null("int")).withColumn("n_lt_ref", null("int")).withColumn("n_loc_ref", null("double"))
     else:
-        draws = nullmodel.statistics(both.select("motif", "count"), nullmodel.sampled(places, cells, spec.references, spec.seed), spec.references)
+        drawn = nullmodel.drawn_by_cell(saved(alike, "alike"), cells, spec.references, spec.seed)
+        draws = nullmodel.statistics(both.select("motif", "count"), saved(drawn, "drawn"), spec.references)
         both = both.drop("ref_avg", "ref_std").join(draws, "motif")
     z = F.when(F.col("ref_std") > 0, (F.col("count") - F.col("ref_avg")) / F.col("ref_std")).otherwise(0.0)
     ratio = F.when(F.col("ref_avg") > 0, F.col("count") / F.col("ref_avg")).otherwise(-1.0)

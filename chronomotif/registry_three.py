@@ -9,6 +9,7 @@ from chronomotif.operators import network, nullmodel
 from chronomotif.plans import motifs
 from chronomotif.registry import NETS, SETS3, TW, VALID, _with, query
 from chronomotif.sources.events import user_item_events, user_item_types
+from chronomotif.storage import saved
 
 SPEC3 = motifs.MotifSpec(tw=TW, max_size=3, references=0)
 
@@ -84,3 +85,22 @@ def motif_report_m3(spark, sf_dir):
     out = motifs.find_motifs(events, SPEC3, user_item_types(events))
     z = F.when(F.col("ref_std") > 1e-9, F.round("z_score", 4)).when(F.col("ref_std").isNotNull(), F.lit(0.0))
     return out.select("motif", "count", F.round("ref_avg", 6).alias("ref_avg"), z.alias("z_score"), "n_loc_tot", "n_loc")
+
+
+REFERENCES = 1000
+
+
+@query(_with(SPACE3, f"SELECT typed AS motif, round(ref_avg, 6) AS ref_avg, {REFERENCES} AS n_ref, TRUE AS mean_held, TRUE AS spread_held FROM ex"))
+def drawn_references_m3(spark, sf_dir):
+    """A thousand references of three events, drawn by cell: whether their mean and variance lie within six of their errors of the exact ones."""
+    totals, hits = _counted(spark, sf_dir)
+    cells, alike = saved(nullmodel.summed_cells(totals, hits), "cells"), saved(nullmodel.alike_summed(totals, hits), "alike")
+    exact = nullmodel.expectation(alike, nullmodel.cell_moments(cells))
+    largest = cells.agg(F.max("value")).first()[0] or 0
+    drawn = nullmodel.drawn_by_cell(alike, cells, REFERENCES, 11).groupBy("motif").agg(F.count("*").cast("int").alias("n_ref"), F.avg("total").alias("mean"), F.var_pop("total").alias("spread"))
+    var = F.col("ref_std") * F.col("ref_std")
+    held = F.abs(F.col("mean") - F.col("ref_avg")) <= 6 * F.col("ref_std") / REFERENCES**0.5 + 1e-6
+    # The fourth cumulant of a sum of bounded counts is at most the largest one's square times the second moments.
+    error = F.sqrt((2 * var * var + largest**2 * (var + F.col("ref_avg"))) / REFERENCES)
+    spread = F.abs(F.col("spread") - var) <= 6 * error + var / REFERENCES + 1e-6
+    return exact.join(drawn, "motif").select("motif", F.round("ref_avg", 6).alias("ref_avg"), "n_ref", held.alias("mean_held"), spread.alias("spread_held"))

@@ -1,11 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronomotif.functions.canonical import count_text
-from chronomotif.operators import cliques, network, shuffles
+from chronomotif.operators import cliques, network, nullmodel, shuffles
 from chronomotif.plans import motifs
 from chronomotif.sources.nets import Graph
 from chronomotif.storage import saved
@@ -58,6 +59,22 @@ def test_three_edges_of_the_null_model(spark):
         assert expected[k] == pytest.approx(counts[k])
 
 
+def test_references_by_cell_follow_the_histogram(spark):
+    """A cell of 40 places, a quarter with one event and a tenth with three: mean, variance and hits of 4000 references; the same again by the same seed."""
+    cells = spark.createDataFrame([("k", [0], 0, 26), ("k", [0], 1, 10), ("k", [0], 3, 4)], "ref_key string, bins array<int>, value long, n long")
+    alike = spark.createDataFrame([("k", [0], "a", 30, 3), ("k", [0], "b", 10, 1)], "ref_key string, bins array<int>, motif string, places long, hit long")
+    draw = lambda seed, parts: sorted(tuple(r) for r in nullmodel.drawn_by_cell(alike.repartition(parts), cells, 4000, seed).collect())
+    rows = draw(7, 1)
+    assert rows == draw(7, 3) != draw(8, 1)
+    mean, var = 22 / 40, 46 / 40 - (22 / 40) ** 2
+    for motif, places in (("a", 30), ("b", 10)):
+        totals = np.array([t for m, _, t, _ in rows if m == motif])
+        hits = np.array([h for m, _, _, h in rows if m == motif])
+        assert len(totals) == 4000 and abs(totals.mean() - places * mean) < 5 * (places * var / 4000) ** 0.5
+        assert totals.var() == pytest.approx(places * var, rel=0.15) and hits.mean() == pytest.approx(places * 14 / 40, rel=0.05)
+        assert (totals >= hits).all()
+
+
 def test_sets_of_any_size(spark):
     events = spark.createDataFrame(random_events(8, n=12, nodes=5), EVENTS)
     all_sizes = motifs.find_sets(events, motifs.MotifSpec(tw=3, max_size=0))
