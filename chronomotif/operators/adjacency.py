@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif.functions.ordering import in_order
+
 
 def node_events(events: DataFrame) -> DataFrame:
     """Two rows an event, one for each of its nodes: ``node`` and the event's columns."""
@@ -13,10 +15,8 @@ def node_events(events: DataFrame) -> DataFrame:
 
 def node_index(events: DataFrame) -> DataFrame:
     """``node, event_id, place, before, after``: each node's events in order, with their neighbours there."""
-    w = Window.partitionBy("node").orderBy("event_id")
-    return node_events(events).select(
-        "node", "event_id", F.row_number().over(w).alias("place"), F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after")
-    )
+    rows = in_order(node_events(events).select("node", "event_id"), ["node"], "event_id", ["event_id"], ["event_id"], "place")
+    return rows.select("node", "event_id", F.col("place").cast("int").alias("place"), F.col("prev_event_id").alias("before"), F.col("next_event_id").alias("after"))
 
 
 def next_events(events: DataFrame) -> DataFrame:
@@ -27,9 +27,8 @@ def next_events(events: DataFrame) -> DataFrame:
     event came between at the other node. The gap is from the end of ``a`` to
     the start of ``b`` and negative where they overlap.
     """
-    w = Window.partitionBy("node").orderBy("event_id")
-    nxt = [F.lead(c).over(w).alias(f"b_{c}") for c in ("event_id", "start", "src", "dst")]
-    pairs = node_events(events).select("event_id", "end", "src", "dst", *nxt).filter("b_event_id is not null")
+    rows = in_order(node_events(events).select("node", "event_id", "start", "end", "src", "dst"), ["node"], "event_id", ["event_id", "start", "src", "dst"])
+    pairs = rows.withColumnsRenamed({f"next_{c}": f"b_{c}" for c in ("event_id", "start", "src", "dst")}).filter("b_event_id is not null")
     same = (F.least("src", "dst") == F.least("b_src", "b_dst")) & (F.greatest("src", "dst") == F.greatest("b_src", "b_dst"))
     grouped = pairs.groupBy(F.col("event_id").alias("a"), F.col("b_event_id").alias("b")).agg(
         F.count("*").alias("n"), F.first(same).alias("same"), F.first(F.col("b_start") - F.col("end")).alias("gap")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif.functions.ordering import in_order
 from chronomotif.operators.adjacency import in_window, node_events
 from chronomotif.storage import saved
 
@@ -34,8 +35,8 @@ def connected_sets(roots: DataFrame, adjacent: DataFrame, max_size: int | None)
 
 def ranked_nodes(events: DataFrame, comp: DataFrame) -> DataFrame:
     """``event_id, node, place``: the event's place among the node's events of its maximal subgraph."""
-    w = Window.partitionBy("node", "comp").orderBy("event_id")
-    return node_events(events).join(comp, "event_id").select("event_id", "node", F.row_number().over(w).alias("place"))
+    rows = node_events(events).select("node", "event_id").join(comp, "event_id")
+    return in_order(rows, ["node", "comp"], "event_id", place="place").select("event_id", "node", F.col("place").cast("int").alias("place"))
 
 
 def described(sets: DataFrame, events: DataFrame, places: DataFrame) -> DataFrame:
