@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomotif.storage import saved
+
 #: Rows of a group in one window at least, and slices of all rows at most: a larger group is cut by its order.
 SLICE_ROWS, SLICES = 100_000, 1_024
 
@@ -73,3 +75,23 @@ def in_order(rows: DataFrame, key: list[str], order: str, ahead: Iterable[str] =
         *(F.when(F.col("_has_prev"), F.col(f"prev_{c}")).otherwise(F.col("_tail")[c]).alias(f"prev_{c}") for c in behind),
         *([(F.col(place) + F.coalesce("_before", F.lit(0))).alias(place)] if place else []),
     )
+
+
+def running(rows: DataFrame, order: list[Column], sums: Iterable[str] = (), maxima: Iterable[str] = ()) -> DataFrame:
+    """``rows`` with columns summed up, or their greatest, from the first row in order to each; the order tells rows apart.
+
+    Rows are dealt by ranges of the order; a row for each range tells what those
+    before it bring.
+    """
+    sums, maxima = list(sums), list(maxima)
+    kept = [c for c in rows.columns if c not in {*sums, *maxima}]
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = saved(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
+    v = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    brought = dealt.groupBy("_part").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima))
+    before = brought.select("_part", *(F.sum(c).over(v).alias(f"_{c}") for c in sums), *(F.max(c).over(v).alias(f"_{c}") for c in maxima))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt.select("*", *(F.sum(c).over(w).alias(f"_run_{c}") for c in sums), *(F.max(c).over(w).alias(f"_run_{c}") for c in maxima)).join(F.broadcast(before), "_part")
+    return both.select(
+        *kept, *((F.col(f"_run_{c}") + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums), *(F.greatest(f"_run_{c}", f"_{c}").alias(c) for c in maxima)
+    )

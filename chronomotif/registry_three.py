@@ -1,13 +1,13 @@
-"""Queries of motifs of three events and of what is drawn by cell, with SQL to compare."""
+"""Queries of motifs of three events, of what is drawn by cell, and of percolation at every weight, with SQL to compare."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.operators import network, nullmodel
+from chronomotif.operators import network, nullmodel, percolation
 from chronomotif.plans import motifs
-from chronomotif.registry import NETS, SETS3, TW, VALID, _with, query
+from chronomotif.registry import NETS, SETS3, TRADE, TW, UV, VALID, _net, _trade, _with, query
 from chronomotif.sources.events import user_item_events, user_item_types
 from chronomotif.storage import saved
 
@@ -104,3 +104,40 @@ def drawn_references_m3(spark, sf_dir):
     error = F.sqrt((2 * var * var + largest**2 * (var + F.col("ref_avg"))) / REFERENCES)
     spread = F.abs(F.col("spread") - var) <= 6 * error + var / REFERENCES + 1e-6
     return exact.join(drawn, "motif").select("motif", F.round("ref_avg", 6).alias("ref_avg"), "n_ref", held.alias("mean_held"), spread.alias("spread_held"))
+
+
+# --- percolation at every weight ------------------------------------------
+
+_SPREAD = """ count(*) AS components, CAST(max(n) AS BIGINT) AS giant, CAST(sum(n * n) AS BIGINT) AS squares,
+ round(CASE WHEN sum(n) > max(n) THEN (sum(n * n) - max(n) * max(n)) / CAST(sum(n) - max(n) AS DOUBLE) ELSE 0.0 END, 6) AS susceptibility"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("w", "bound").withColumn("susceptibility", F.round("susceptibility", 6))
+
+
+@query(
+    _with(
+        UV
+        + """, bd AS (SELECT DISTINCT w AS bound FROM g), p(bound, node, c) AS (SELECT bound, u, u FROM bd, (SELECT DISTINCT u FROM bw) UNION SELECT p.bound, bw.v, p.c FROM p JOIN bw ON bw.u = p.node AND bw.w >= p.bound WHERE p.c < bw.v),
+l AS (SELECT bound, node, min(c) AS c FROM p GROUP BY bound, node), s AS (SELECT bound, c, count(*) AS n FROM l GROUP BY bound, c)""",
+        f"SELECT bound, CAST(sum(n) AS BIGINT) AS nodes, {_SPREAD} FROM s GROUP BY bound",
+    )
+)
+def edge_percolation_profile(spark, sf_dir):
+    return _rounded(percolation.edge_profile(_net(spark, sf_dir), reverse=True))
+
+
+@query(
+    _with(
+        TRADE
+        + """, tri AS (SELECT a.u || '-' || a.v AS x, b.u || '-' || b.v AS y, c.u || '-' || c.v AS z, least(a.w, b.w, c.w) AS w FROM tr0 a JOIN tr0 b ON a.v = b.u JOIN tr0 c ON c.u = a.u AND c.v = b.v),
+bd AS (SELECT DISTINCT w AS bound FROM tri), on_ AS (SELECT bound, x, y, z FROM tri JOIN bd ON w >= bound),
+lk AS (SELECT bound, x AS a, y AS b FROM on_ UNION SELECT bound, y, x FROM on_ UNION SELECT bound, y, z FROM on_ UNION SELECT bound, z, y FROM on_),
+p(bound, node, c) AS (SELECT DISTINCT bound, a, a FROM lk UNION SELECT p.bound, lk.b, p.c FROM p JOIN lk ON lk.bound = p.bound AND lk.a = p.node WHERE p.c < lk.b),
+l AS (SELECT bound, node, min(c) AS c FROM p GROUP BY bound, node), s AS (SELECT o.bound, c, count(*) AS n FROM on_ o JOIN l ON l.bound = o.bound AND l.node = o.x GROUP BY o.bound, c)""",
+        f"SELECT bound, CAST(sum(n) AS BIGINT) AS nodes, {_SPREAD} FROM s GROUP BY bound",
+    )
+)
+def clique_percolation_profile(spark, sf_dir):
+    return _rounded(percolation.clique_profile(_trade(spark, sf_dir, whole=True), 3, "least"))
