@@ -35,11 +35,11 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int, scale:
     return rows.filter((F.size("x") == dims) & finite).select("vec_id", F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("q"))
 
 
-def first_centroids(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
+def first_centroids(vectors: DataFrame, k: int, seed: int, dims: int) -> np.ndarray:
     """The vectors with the ``k`` smallest hashes of their ids, in that order; those without an id come last."""
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.orderBy(mark.asc_nulls_last(), "q").select("q").limit(k).collect()
-    return np.array([r.q for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.q for r in rows], dtype=np.int64).reshape(len(rows), dims)
 
 
 def _up(x: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def cluster_vectors(df: DataFrame, k: int = 8, rounds: int = 10, id_col: str = "
     spark = df.sparkSession
     share_package(spark)
     vectors = whole_vectors(df, id_col, vector_col, dims, scale)
-    centroids = first_centroids(vectors, k, seed)
+    centroids = first_centroids(vectors, k, seed, dims)
     schema = _state(vectors.schema["vec_id"].dataType)
     if not len(centroids):
         return _result(spark.createDataFrame([], schema), centroids)
