@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronomotif.functions.ordering import in_order
@@ -39,6 +39,13 @@ def ranked_nodes(events: DataFrame, comp: DataFrame) -> DataFrame:
     return in_order(rows, ["node", "comp"], "event_id", place="place").select("event_id", "node", F.col("place").cast("int").alias("place"))
 
 
+def _consecutive(at: Column) -> Column:
+    """Whether places (``node, place``) of a set's events have no gaps at any node."""
+    nodes = F.array_distinct(F.transform(at, lambda x: x["node"]))
+    here = lambda n: F.transform(F.filter(at, lambda x: x["node"] == n), lambda x: x["place"])
+    return F.forall(nodes, lambda n: F.array_max(here(n)) - F.array_min(here(n)) + 1 == F.size(here(n)))
+
+
 def described(sets: DataFrame, events: DataFrame, places: DataFrame) -> DataFrame:
     """Sets with their ``edges`` in order of ids and ``valid``: at every node the events are consecutive there."""
     at = places.groupBy("event_id").agg(F.collect_list(F.struct("node", "place")).alias("at"))
@@ -47,14 +54,49 @@ def described(sets: DataFrame, events: DataFrame, places: DataFrame) -> DataFram
     full = rows.groupBy("root", "ids", "gap").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("event_id", "edge"))), lambda x: x["edge"]).alias("edges"), F.flatten(F.collect_list("at")).alias("at")
     )
-    nodes = F.array_distinct(F.transform("at", lambda x: x["node"]))
-    here = lambda n: F.transform(F.filter("at", lambda x: x["node"] == n), lambda x: x["place"])
-    gapless = lambda n: F.array_max(here(n)) - F.array_min(here(n)) + 1 == F.size(here(n))
-    return full.select("root", "ids", "gap", "edges", F.forall(nodes, gapless).alias("valid"))
+    return full.select("root", "ids", "gap", "edges", _consecutive(F.col("at")).alias("valid"))
+
+
+def near_sets(events: DataFrame, adjacent: DataFrame, comp: DataFrame, max_size: int, time_gap: int = 0) -> DataFrame:
+    """The valid sets of up to three events, read off each event's neighbours: no set is grown, gathered or told apart from another.
+
+    An event has two next and two previous ones at most, and carries its places
+    at its nodes. A set of three lies around an event with two neighbours; where
+    those are neighbours too, around its least one alone.
+    """
+    at = ranked_nodes(events, comp).groupBy("event_id").agg(F.collect_list(F.struct("node", "place")).alias("at"))
+    first = in_window(events, time_gap).select("event_id", F.lit(True).alias("first"))
+    own = events.select("event_id", F.struct("src", "dst", "etype").alias("edge")).join(at, "event_id").join(first, "event_id", "left")
+    both = adjacent.select("a", "b", "gap").unionAll(adjacent.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    links = both.groupBy(F.col("a").alias("event_id")).agg(F.collect_list(F.struct("b", "gap")).alias("links"))
+    own = own.join(links, "event_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<b:bigint,gap:bigint>>")))
+    own = saved(own.select(F.struct("event_id", "edge", "at", F.coalesce("first", F.lit(False)).alias("first")).alias("e"), "links"), "events-with-places")
+    near = both.join(own.select(F.col("e.event_id").alias("b"), "e", "links"), "b").groupBy(F.col("a").alias("x")).agg(F.collect_list(F.struct("e", "gap", "links")).alias("others"))
+    rows = own.join(near, F.col("e.event_id") == F.col("x"), "left").select("e", F.coalesce("others", F.array().cast(near.schema["others"].dataType)).alias("others"))
+
+    def three(o: Column, p: Column) -> Column:
+        closing = F.get(F.filter(o["links"], lambda x: x["b"] == p["e"]["event_id"]), F.lit(0))["gap"]
+        wide = F.greatest(o["gap"], p["gap"])
+        # Of three gaps the middle one connects.
+        middle = F.greatest(F.least(o["gap"], p["gap"]), F.least(wide, closing))
+        once = closing.isNull() | (F.col("e.event_id") < F.least(o["e"]["event_id"], p["e"]["event_id"]))
+        return F.when(once, F.struct(F.array("e", o["e"], p["e"]).alias("of"), F.when(closing.isNull(), wide).otherwise(middle).alias("gap")))
+
+    found = [F.array(F.struct(F.array("e").alias("of"), F.lit(0).cast("long").alias("gap")))]
+    if max_size > 1:
+        later = F.filter("others", lambda o: o["e"]["event_id"] > F.col("e.event_id"))
+        found.append(F.transform(later, lambda o: F.struct(F.array("e", o["e"]).alias("of"), o["gap"].alias("gap"))))
+    if max_size > 2:
+        found.append(F.flatten(F.transform("others", lambda o, i: F.transform(F.filter("others", lambda p, j: j > i), lambda p: three(o, p)))))
+    sets = rows.select(F.explode(F.concat(*found)).alias("s")).filter("s is not null").select(F.array_sort("s.of").alias("of"), "s.gap")
+    valid = sets.filter(F.col("of")[0]["first"] & _consecutive(F.flatten(F.transform("of", lambda x: x["at"]))))
+    return valid.select(F.col("of")[0]["event_id"].alias("root"), F.transform("of", lambda x: x["event_id"]).alias("ids"), "gap", F.transform("of", lambda x: x["edge"]).alias("edges"))
 
 
 def valid_sets(events: DataFrame, adjacent: DataFrame, comp: DataFrame, max_size: int | None, time_gap: int = 0) -> DataFrame:
     """Described sets, the roots from within the time window, that are valid."""
+    if max_size in (1, 2, 3):
+        return near_sets(events, adjacent, comp, max_size, time_gap)
     sets = connected_sets(in_window(events, time_gap), adjacent, max_size)
     return described(sets, events, ranked_nodes(events, comp)).filter("valid").drop("valid")
 
