@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif.functions.ordering import running
 from chronomotif.sources.nets import Graph
+from chronomotif.storage import saved
 
 
 def sizes(member: DataFrame) -> DataFrame:
@@ -169,3 +171,60 @@ def hierarchy(levels: list[DataFrame]) -> DataFrame:
         out = out.unionByName(s.join(best, "comm", "left").select(F.lit(k).alias("level"), "comm", "parent"))
     return out
 
+
+
+def tree_order(tree: DataFrame, levels: int) -> DataFrame:
+    """``level, comm, parent, first, leaves`` of a :func:`hierarchy`: the place of a community's first leaf in the tree's order, and its leaves.
+
+    Leaves are communities that hold none of the next level. Children follow
+    their parent's order, then their number; what has no parent comes after the
+    others of its level. A level is one running sum over ranges, however many
+    children a community has.
+    """
+    tree = saved(tree, "tree")
+    counted: list[DataFrame] = []
+    for level in reversed(range(levels)):
+        own = tree.filter(F.col("level") == level)
+        if counted:
+            below = counted[-1].filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(F.sum("leaves").alias("below"))
+            own = own.join(below, F.col("comm") == F.col("of"), "left").drop("of")
+        else:
+            own = own.withColumn("below", F.lit(None).cast("long"))
+        counted.append(saved(own.select("level", "comm", "parent", F.coalesce("below", F.lit(1)).cast("long").alias("leaves")), "leaves"))
+    placed, out, end = None, None, 0
+    for own in reversed(counted):
+        if placed is not None:
+            own = own.join(placed.select(F.col("comm").alias("of"), F.col("first").alias("from")), F.col("parent") == F.col("of"), "left").drop("of")
+        else:
+            own = own.withColumn("from", F.lit(None).cast("long"))
+        run = running(own.withColumn("upto", F.col("leaves")), [F.col("from").asc_nulls_last(), F.col("comm")], sums=["upto"]).withColumn("before", F.col("upto") - F.col("leaves"))
+        base = run.groupBy(F.col("parent").alias("of")).agg(F.min("before").alias("base"))
+        run = run.join(base, F.col("parent").eqNullSafe(F.col("of")))
+        first = F.coalesce("from", F.lit(end)) + F.col("before") - F.col("base")
+        placed = saved(run.select("level", "comm", "parent", first.alias("first"), "leaves"), "tree-order")
+        end = max(end, placed.agg(F.max(F.col("first") + F.col("leaves"))).first()[0] or 0)
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def thinned(tree: DataFrame, levels: int) -> DataFrame:
+    """``level, comm, parent_level, parent`` of a :func:`hierarchy` without the communities that only pass on: of a run of them the first stays.
+
+    Such a one has a parent and one child, as its parent has, or has two
+    neighbours as a root. Pointers to what goes are doubled until all point to
+    what stays.
+    """
+    here = tree.select("level", "comm", "parent")
+    kids = here.filter("parent is not null").groupBy((F.col("level") - 1).alias("level"), F.col("parent").alias("comm")).agg(F.count("*").alias("kids"))
+    deg = here.join(kids, ["level", "comm"], "left").select("level", "comm", "parent", (F.coalesce("kids", F.lit(0)) + F.col("parent").isNotNull().cast("int")).alias("deg"))
+    up = deg.select((F.col("level") + 1).alias("level"), F.col("comm").alias("parent"), F.col("deg").alias("updeg"))
+    rows = deg.join(up, ["level", "parent"], "left")
+    gone = (F.col("deg") == 2) & F.col("parent").isNotNull() & F.coalesce(F.col("updeg") == 2, F.lit(False))
+    at = F.when(F.col("parent").isNotNull(), F.struct((F.col("level") - 1).alias("level"), F.col("parent").alias("comm")))
+    rows = saved(rows.select(F.struct("level", "comm").alias("me"), at.alias("to"), gone.alias("gone")), "thinning")
+    reach = 1
+    while reach < levels:
+        next_ = rows.filter("gone").select(F.col("me").alias("via"), F.col("to").alias("beyond"))
+        rows = saved(rows.join(next_, F.col("to") == F.col("via"), "left").select("me", F.coalesce("beyond", "to").alias("to"), "gone"), "thinning")
+        reach *= 2
+    return rows.filter("not gone").select("me.level", "me.comm", F.col("to.level").alias("parent_level"), F.col("to.comm").alias("parent"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.operators import network, nullmodel, percolation
+from chronomotif.operators import communities, graphs, network, nullmodel, percolation
 from chronomotif.plans import motifs
-from chronomotif.registry import NETS, SETS3, TRADE, TW, UV, VALID, _net, _trade, _with, query
+from chronomotif.registry import NETS, SETS3, TRADE, TW, UV, VALID, _modulo, _net, _trade, _with, query
 from chronomotif.sources.events import user_item_events, user_item_types
 from chronomotif.storage import saved
 
@@ -141,3 +141,56 @@ l AS (SELECT bound, node, min(c) AS c FROM p GROUP BY bound, node), s AS (SELECT
 )
 def clique_percolation_profile(spark, sf_dir):
     return _rounded(percolation.clique_profile(_trade(spark, sf_dir, whole=True), 3, "least"))
+
+
+# --- distances from all nodes, trees of communities -----------------------
+
+#: Distances of all pairs that reach each other; the network of users and items has none of ten steps.
+_ALL = UV + """, q(start, node, dist) AS (SELECT DISTINCT u, u, 0 FROM bw UNION SELECT q.start, bw.v, q.dist + 1 FROM q JOIN bw ON bw.u = q.node WHERE q.dist < 10),
+f AS (SELECT start, node, min(dist) AS dist FROM q GROUP BY start, node), n AS (SELECT dist, count(*) AS pairs FROM f WHERE dist > 0 GROUP BY dist)"""
+
+
+@query(_with(_ALL, "SELECT dist, pairs FROM n"))
+def distances_of_all_pairs(spark, sf_dir):
+    """By sketches; the SQL's whole numbers are met as long as no node reaches more than some hundred others."""
+    return graphs.neighbourhood_sizes(_net(spark, sf_dir))
+
+
+@query(_with(_ALL, "SELECT round(sum(dist * pairs) / sum(pairs), 9) AS mean FROM n"))
+def mean_distance_of_all_pairs(spark, sf_dir):
+    return graphs.mean_distance_of(graphs.neighbourhood_sizes(_net(spark, sf_dir))).select(F.round("mean", 9).alias("mean"))
+
+
+def _tree(spark: SparkSession, sf_dir: str, *moduli: int) -> DataFrame:
+    g = _net(spark, sf_dir)
+    return communities.hierarchy([_modulo(g.nodes, m) for m in moduli])
+
+
+_MODULI = UV + """, nd AS (SELECT DISTINCT u AS node FROM bw), lf AS (SELECT DISTINCT node % 70 AS d, node % 35 AS c, node % 5 AS b FROM nd),
+o AS (SELECT *, row_number() OVER (ORDER BY b, c, d) - 1 AS place FROM lf)"""
+
+
+@query(
+    _with(
+        _MODULI,
+        """SELECT 0 AS level, 0::BIGINT AS comm, NULL::BIGINT AS parent, 0::BIGINT AS first, count(*) AS leaves FROM o UNION ALL SELECT 1, b, 0, min(place), count(*) FROM o GROUP BY b
+ UNION ALL SELECT 2, c, c % 5, min(place), count(*) FROM o GROUP BY c UNION ALL SELECT 3, d, d % 35, place, 1 FROM o""",
+    )
+)
+def community_tree_order(spark, sf_dir):
+    return communities.tree_order(_tree(spark, sf_dir, 1, 5, 35, 70), 4)
+
+
+@query(
+    _with(
+        _MODULI,
+        """, t AS (SELECT 5 AS level, d AS comm, 4 AS pl, d % 35 AS parent, 0 AS kids FROM o UNION ALL SELECT 4, c, 3, c % 5, count(*) FROM o GROUP BY c
+ UNION ALL SELECT 3, b, 2, b, count(DISTINCT c) FROM o GROUP BY b UNION ALL SELECT DISTINCT 2, b, 1, b, 1 FROM o UNION ALL SELECT DISTINCT 1, b, 0, 0, 1 FROM o UNION ALL SELECT 0, 0, NULL, NULL, count(DISTINCT b) FROM o),
+dg AS (SELECT *, kids + CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS deg FROM t),
+x AS (SELECT a.*, a.deg = 2 AND a.parent IS NOT NULL AND coalesce(p.deg = 2, FALSE) AS gone FROM dg a LEFT JOIN dg p ON p.level = a.pl AND p.comm = a.parent),
+r(level, comm, pl, parent) AS (SELECT level, comm, pl, parent FROM x WHERE NOT gone UNION ALL SELECT r.level, r.comm, x.pl, x.parent FROM r JOIN x ON x.level = r.pl AND x.comm = r.parent WHERE x.gone)
+SELECT r.level, r.comm, r.pl AS parent_level, r.parent FROM r LEFT JOIN x ON x.level = r.pl AND x.comm = r.parent WHERE NOT coalesce(x.gone, FALSE)""",
+    )
+)
+def community_tree_thinned(spark, sf_dir):
+    return communities.thinned(_tree(spark, sf_dir, 1, 5, 5, 5, 35, 70), 6)
