@@ -15,6 +15,8 @@ All of it is DataFrame operations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ PARTS, BASE_SLOTS = 3, 8
 DIGESTS_PER_SLOT = 1.5
 #: Peeling steps before a table counts as stuck, each for one part: of the fingerprint, of larger tables.
 BASE_STEPS, STEPS = 6, 9
+#: Larger and larger tables that are tried before it counts as an error: each doubles the slots, and gets stuck once in many.
+MOST_ATTEMPTS = 16
 
 CELLS = "array<struct<cell:bigint,n:bigint,key:bigint,check:bigint>>"
 STORED = "array<struct<cell:tinyint,n:int,key:bigint,check:int>>"
@@ -171,10 +175,12 @@ def retry_larger(df: DataFrame, by: list[str], attempt: int) -> DataFrame:
 
 def settle(df: DataFrame, by: list[str], attempt: int = 1) -> DataFrame:
     """``df`` with all its ``pairs`` settled: the first attempt where rows lie, then only those that are left, from written tables."""
-    rows, done = materialize(retry_larger(df, by, attempt), "sketches"), []
+    rows, done, last = materialize(retry_larger(df, by, attempt), "sketches"), [], attempt + MOST_ATTEMPTS
     left = F.exists("pairs", lambda p: p["found"].isNull())
     while rows.filter(left).limit(1).count():
         attempt += 1
+        if attempt > last:
+            raise RuntimeError(f"tables don't peel after {MOST_ATTEMPTS} attempts, each larger than the one before")
         done.append(rows.filter(~left))
         rows = materialize(retry_larger(rows.filter(left), by, attempt), "sketches")
     for d in done:
@@ -182,6 +188,45 @@ def settle(df: DataFrame, by: list[str], attempt: int = 1) -> DataFrame:
     return rows
 
 
+def differing_digests(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """``by``, ``only_a`` and ``only_b``: the digests of either side (arrays ``a`` and ``b``) that the other lacks, as peeling recovers them.
+
+    The first table is as large as the fingerprint's; where it gets stuck, both
+    sides go into one that is sized by their digests, then into larger ones.
+    Rows are told apart by ``by``; a null array is an empty one, and digests
+    that a side repeats count once. What is recovered carries the sign of its side.
+    """
+    once = lambda c: F.coalesce(F.array_distinct(F.col(c).cast(DIGESTS)), F.array().cast(DIGESTS))
+    rest, done = materialize(df.select(*by, once(a).alias("_a"), once(b).alias("_b")), "sides"), []
+    none = F.lit(None).cast("long")
+    for attempt in range(MOST_ATTEMPTS):
+        wanted = F.ceil(F.log2(F.greatest((F.size("_a") + F.size("_b")) / F.lit(DIGESTS_PER_SLOT), F.lit(2.0)))).cast("int")
+        slots = F.lit(BASE_SLOTS).cast("long") if not attempt else F.call_function("shiftleft", F.lit(1).cast("long"), wanted + (attempt - 1))
+        side = lambda c, sign: F.transform(c, lambda k: F.struct(F.lit(sign).cast("long").alias("n"), k.alias("key")))
+        rows = rest.select(*by, slots.alias("slots"), F.inline(F.concat(side("_a", 1), side("_b", -1))))
+        cells = rows.select(*by, "slots", "n", "key", _check(F.col("key")).alias("check"), none.alias("taken"), F.explode(F.array(*(_place(F.col("key"), F.col("slots"), p, attempt) for p in range(PARTS)))).alias("cell"))
+        keys = [*by, "slots", "cell", "taken"]
+        for step in range(STEPS + 1):
+            cells = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")).filter("taken is not null or n <> 0 or key <> 0 or check <> 0")
+            if step == STEPS:
+                break
+            part = step % PARTS
+            alone = F.col("taken").isNull() & (F.col("cell") % PARTS == part) & (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
+            found = F.struct(F.lit(-1).cast("long").alias("cell"), "n", "key", "check", F.col("key").alias("taken"))
+            out = [F.struct(_place(F.col("key"), F.col("slots"), p, attempt).alias("cell"), (-F.col("n")).alias("n"), "key", "check", none.alias("taken")) for p in range(PARTS) if p != part]
+            stay = F.struct("cell", "n", "key", "check", "taken")
+            cells = cells.select(*by, "slots", F.inline(F.when(alone, F.array(found, *out)).otherwise(F.array(stay))))
+        of = lambda sign: F.array_sort(F.collect_list(F.when(F.col("n") == sign, F.col("taken"))))
+        told = cells.groupBy(*by).agg(of(1).alias("only_a"), of(-1).alias("only_b"), F.count_if(F.col("taken").isNull()).alias("left"))
+        nothing = F.array().cast(DIGESTS)
+        rows = materialize(rest.join(told, by, "left").withColumns({"only_a": F.coalesce("only_a", nothing), "only_b": F.coalesce("only_b", nothing), "left": F.coalesce("left", F.lit(0))}), "recovered")
+        done.append(rows.filter("left = 0").select(*by, "only_a", "only_b"))
+        rest = rows.filter("left > 0").select(*by, "_a", "_b")
+        if not rest.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"tables don't peel after {MOST_ATTEMPTS} attempts, each larger than the one before")
+
+
 def likeness(found: Column, a_length: Column, b_length: Column) -> Column:
     """Share of the characters, in both texts' distinct pieces, that lie in shared ones: 0 to 1; 1 for two empty texts."""
     both = a_length + b_length

@@ -52,6 +52,31 @@ def test_peeling_recovers_the_difference(spark):
         assert (got[k]["a_fingerprint"] == got[k]["b_fingerprint"]) == (a + b == 0)
 
 
+def test_both_sides_digests_come_back(spark):
+    """Digests of both sides against set difference: few and many, nulls, repeats, equal sides, and a text with its edited version."""
+    rnd = random.Random(6)
+    draw = lambda n: [rnd.getrandbits(63) - 2**62 for _ in range(n)]
+    shared, rows = draw(300), []
+    for k, (n, a, b) in enumerate([(0, 0, 0), (300, 0, 0), (300, 1, 0), (20, 3, 4), (100, 30, 20), (0, 900, 0), (300, 2000, 1500)]):
+        rows.append((k, shared[:n] + draw(a), shared[:n] + draw(b)))
+    rows += [(90, None, shared[:5]), (91, shared[:4] * 3, shared[2:6])] + [(100 + k, draw(2), draw(1)) for k in range(600)]
+    df = spark.createDataFrame(rows, "id int, x array<bigint>, y array<bigint>")
+    got = {r["id"]: (r["only_a"], r["only_b"]) for r in fp.differing_digests(df, ["id"], "x", "y").collect()}
+    assert got == {k: (sorted({*(x or [])} - {*(y or [])}), sorted({*(y or [])} - {*(x or [])})) for k, x, y in rows}
+    text = " ".join(f"w{k}" for k in range(200))
+    one = spark.createDataFrame([(1, text, text.replace("w150", "other"))], "id int, t string, u string")
+    pair = fp.differing_digests(one.select("id", fp.digests(F.col("t")).alias("t"), fp.digests(F.col("u")).alias("u")), ["id"], "t", "u").first()
+    assert len(pair["only_a"]) == len(pair["only_b"]) == 1
+    assert pair["only_a"][0] & 0xFFFF == sum(len(p) for p in set(pieces(text)) - set(pieces(text.replace("w150", "other"))))
+
+
+def test_no_end_of_attempts_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(fp, "MOST_ATTEMPTS", 1)
+    df = spark.createDataFrame([(1, list(range(1000)), [])], "id int, x array<bigint>, y array<bigint>")
+    with pytest.raises(RuntimeError, match="don't peel"):
+        fp.differing_digests(df, ["id"], "x", "y")
+
+
 def test_fingerprints_peel_by_themselves(spark):
     """Few differing digests: the subtracted tables of the fingerprints are enough, no digest is looked at again."""
     rows = [(k, list(range(60)), list(range(k, 60 + k))) for k in range(4)]
