@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronomotif.functions.ordering import running
 from chronomotif.sources.events import _numbered_lines
 
 COLUMNS = ("count", "ref_avg", "ratio", "ref_std", "n_ref", "n_lt_ref", "z_score", "n_loc_tot", "n_loc", "n_loc_ref", "motif")
@@ -42,10 +43,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A file of ``#NODES``, ``#EVENTS`` and ``#MOTIFS`` sections: its lines by section, as ``nodes``, ``events``, ``motifs``."""
-    lines = _numbered_lines(spark, path)
-    w = Window.orderBy("line_no")
-    name = F.regexp_extract("value", r"^\s*#(\w+)", 1)
-    rows = lines.withColumn("section", F.last(F.when(name != "", F.lower(name)), ignorenulls=True).over(w)).filter(name == "")
+    name = F.lower(F.regexp_extract("value", r"^\s*#(\w+)", 1))
+    lines = _numbered_lines(spark, path).withColumn("name", name).withColumn("begun", F.when(F.col("name") != "", F.col("line_no")))
+    # Each line's section is that of the last heading so far: a running maximum over ranges of lines.
+    rows = running(lines, [F.col("line_no")], maxima=["begun"])
+    heads = lines.filter("name <> ''").select(F.col("line_no").alias("begun"), F.col("name").alias("section"))
+    rows = rows.filter("name = ''").join(heads, "begun")
     return {s: rows.filter(F.col("section") == s).select("line_no", "value") for s in ("nodes", "events", "motifs")}
 
 

@@ -71,3 +71,19 @@ def test_other_formats(spark, tmp_path):
     comm = nets.read_communities(spark, written(tmp_path, "c.txt", "x\na b c\n"))
     assert {(r["node"], r["comm"]) for r in comm.collect()} == {("a", 0), ("b", 0), ("c", 0), ("x", 1)}
     assert comm.filter(F.col("comm") == 0).count() == 3
+
+
+def test_errors_name_line_and_column(spark, tmp_path):
+    """Lines count from 1, blank ones and those skipped included, over all splits of the file."""
+    path = tmp_path / "table.txt"
+    path.write_text("a b c\n\n" + "".join(f"{k} {k}.5 x\n" for k in range(3000)) + "7 many x\n")
+    good = tables.read_columns(spark, str(path), ["a", "c"], ["long", "string"], header=True)
+    assert good.count() == 3001 and good.schema["a"].dataType.simpleString() == "bigint"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        with pytest.raises(Exception, match=r"line 3003, column 2 \(b\): many is no double"):
+            tables.read_columns(spark, str(path), ["a", "b"], ["long", "double"], header=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
