@@ -194,3 +194,9 @@ SELECT r.level, r.comm, r.pl AS parent_level, r.parent FROM r LEFT JOIN x ON x.l
 )
 def community_tree_thinned(spark, sf_dir):
     return communities.thinned(_tree(spark, sf_dir, 1, 5, 5, 5, 35, 70), 6)
+
+
+@query()
+def betweenness_drawn(spark, sf_dir):
+    """The whole network of users and items, from drawn paths; tested against all paths, and the error with it."""
+    return graphs.drawn_betweenness(_net(spark, sf_dir), seed=11)

@@ -97,3 +97,28 @@ def test_distances_from_all_nodes(spark, nodes, links, registers, error):
     mean = lambda x: sum(d * n for d, n in x.items()) / sum(x.values())
     assert mean(got) == pytest.approx(mean(want), rel=max(error, 1e-9))
     assert {r["dist"] for r in graphs.neighbourhood_sizes(graph, registers, most=2).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_drawn_betweenness_is_within_its_error(spark, directed):
+    """Against all shortest paths: a net with hubs, several paths of one length, and a part of its own; the same again by the same seed."""
+    rnd = random.Random(12)
+    edges = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(70)} | {(0, k) for k in range(1, 30, 3)} | {(50, 51), (51, 52)}
+    if directed:
+        edges = {(a, b) if rnd.random() < 0.5 else (b, a) for a, b in edges}
+    graph = Graph.of(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "u long, v long, w double"), directed=directed)
+    n = graph.nodes.count()
+    exact = {r["node"]: r["betweenness"] / (n * (n - 1) * (1 if directed else 0.5)) for r in graphs.betweenness(graph).collect()}
+    drawn = {r["node"]: r["share"] for r in graphs.drawn_betweenness(graph, 3, error=0.06).collect()}
+    assert set(drawn) == set(exact) and max(exact.values()) > 0.03
+    assert max(abs(drawn[k] - exact[k]) for k in exact) <= 0.06
+    if not directed:
+        assert drawn == {r["node"]: r["share"] for r in graphs.drawn_betweenness(graph, 3, error=0.06).collect()}
+
+
+def test_drawn_betweenness_of_few_nodes(spark):
+    line = Graph.of(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "u long, v long, w double"))
+    got = {r["node"]: r["share"] for r in graphs.drawn_betweenness(line, 1, error=0.1).collect()}
+    assert got[1] == got[3] == 0 and abs(got[2] - 1 / 3) <= 0.1
+    two = Graph.of(spark.createDataFrame([(1, 2, 1.0)], "u long, v long, w double"))
+    assert {r["betweenness"] for r in graphs.drawn_betweenness(two, 1).collect()} == {0.0}
