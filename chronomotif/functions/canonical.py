@@ -12,6 +12,8 @@ from itertools import permutations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronomotif.functions.partial import partial_key
+from chronomotif.functions.search import searcher
 from chronomotif.operators.subgraphs import nodes_of
 
 #: Nodes up to which permutations are tried; larger motifs are searched by :func:`_searched`.
@@ -52,15 +54,10 @@ def _least(ntypes: Column, n: int, edges) -> Column:
 
 
 def _searched(form: str):
-    """A UDF of node types and events to a canonical text, for any number of nodes; null for null.
+    """A UDF of node types and events to a canonical text, for any number of nodes; null for null."""
+    search = searcher()
 
-    Nodes are coloured by type and then by their neighbours' colours until that
-    parts no more; where nodes share a colour, each in turn is told apart. Orders
-    that give a known text show a symmetry, and what is symmetric to what was
-    searched before is passed over. All is nested, so that workers need no package.
-    """
-
-    def search(ntypes, events):
+    def least(ntypes, events):
         if ntypes is None or events is None:
             return None
         n = len(ntypes)
@@ -70,21 +67,6 @@ def _searched(form: str):
             edges = sorted({(e[0], e[1], "") for e in events})
         else:
             edges = sorted({(min(e[0], e[1]), max(e[0], e[1]), "") for e in events})
-        ways = [[] for _ in range(n)]
-        for i, j, c in edges:
-            ways[i].append((0, c, j))
-            ways[j].append((0 if form == "graph" else 1, c, i))
-
-        def ranks(values):
-            at = {v: k for k, v in enumerate(sorted(set(values)))}
-            return [at[v] for v in values]
-
-        def refined(colours):
-            while True:
-                new = ranks([(colours[k], tuple(sorted((d, c, colours[o]) for d, c, o in ways[k]))) for k in range(n)])
-                if len(set(new)) == len(set(colours)):
-                    return new
-                colours = new
 
         def text(names):
             mark = "-" if form == "graph" else ">"
@@ -96,52 +78,10 @@ def _searched(form: str):
                 ends = [(min(a, b), max(a, b), c) for a, b, c in ends]
             return f"[{','.join(types)}] {' '.join(sorted(f'{a}{mark}{b}{c}' for a, b, c in ends))}"
 
-        known, symmetries = {}, []
-
-        def same(path, one, two):
-            """Whether known symmetries that leave the path as it is bring one node to the other."""
-            fixing = [s for s in symmetries if all(s[k] == k for k in path)]
-            seen, todo = {one}, [one]
-            while todo:
-                k = todo.pop()
-                for s in fixing:
-                    if s[k] not in seen:
-                        seen.add(s[k])
-                        todo.append(s[k])
-            return two in seen
-
-        def visit(colours, path):
-            """Search below a path; the depth to go back to."""
-            colours = refined(colours)
-            cells = {}
-            for k, c in enumerate(colours):
-                cells.setdefault(c, []).append(k)
-            open_cells = [(len(ks), c) for c, ks in cells.items() if len(ks) > 1]
-            if not open_cells:
-                t = text(colours)
-                if t not in known:
-                    known[t] = (colours, path)
-                    return len(path)
-                names, before = known[t]
-                here = {name: k for k, name in enumerate(colours)}
-                symmetries.append([here[names[k]] for k in range(n)])
-                there = {name: k for k, name in enumerate(names)}
-                symmetries.append([there[colours[k]] for k in range(n)])
-                return next((d for d, (a, b) in enumerate(zip(path, before)) if a != b), len(path))
-            done = []
-            for k in cells[min(open_cells)[1]]:
-                if any(same(path, d, k) for d in done):
-                    continue
-                back = visit([2 * c + (o != k) for o, c in enumerate(colours)], [*path, k])
-                if back < len(path):
-                    return back
-                done.append(k)
-            return len(path)
-
-        visit(ranks(list(ntypes)), [])
-        return min(known)
-
-    return F.udf(search, "string")
+        both = edges + [(j, i, c) for i, j, c in edges] if form == "graph" else edges
+        return search(list(ntypes), both, text)[0]
+
+    return F.udf(least, "string", useArrow=True)
 
 
 def unordered(ntypes: Column, events: Column, form: str) -> Column:
@@ -172,9 +112,14 @@ def unordered(ntypes: Column, events: Column, form: str) -> Column:
 
 
 def canonical(ntypes: Column, events: Column, form: str = "motif") -> Column:
-    """The key of a motif at a level: ``motif``, ``multigraph``, ``digraph``, ``graph`` or ``nodes``."""
+    """The key of a motif at a level: ``motif``, ``order``, ``multigraph``, ``digraph``, ``graph`` or ``nodes``.
+
+    ``order`` keeps of the events' order only what nodes that they share give.
+    """
     if form == "motif":
         return key(ntypes, events)
+    if form == "order":
+        return partial_key(ntypes, events)
     if form == "nodes":
         return F.array_join(F.transform(F.array_sort(ntypes), lambda t: t.cast("string")), ",")
     return unordered(ntypes, events, form)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomotif.functions.canonical import canonical, parse
+from chronomotif.functions.partial import order_labels
 from chronomotif.operators import communities, graphs, network, nullmodel, percolation
 from chronomotif.plans import motifs
 from chronomotif.registry import NETS, SETS3, TRADE, TW, UV, VALID, _modulo, _net, _trade, _with, query
@@ -106,6 +108,47 @@ def drawn_references_m3(spark, sf_dir):
     return exact.join(drawn, "motif").select("motif", F.round("ref_avg", 6).alias("ref_avg"), "n_ref", held.alias("mean_held"), spread.alias("spread_held"))
 
 
+# --- motifs whose events share an order only where they share nodes -------------
+
+#: Sets found, each as it is (``sw`` 0) and with the two events swapped that no order binds (``sw`` 1), keyed.
+BOTH3 = (
+    LOC3
+    + """, one AS (SELECT *, row_number() OVER () AS rid FROM loc3 WHERE coalesce(c2, c1) = c1 AND coalesce(c3, c1) = c1),
+ways AS (SELECT *, 0 AS sw, 't' AS kind FROM one WHERE c3 IS NULL OR (len(list_intersect([s1, d1], [s2, d2])) > 0 AND len(list_intersect([s2, d2], [s3, d3])) > 0)
+ UNION ALL SELECT *, 0, 'l' FROM one WHERE c3 IS NOT NULL AND len(list_intersect([s1, d1], [s2, d2])) = 0
+ UNION ALL SELECT s2, d2, c2, s1, d1, c1, s3, d3, c3, cnt, rid, 1, 'l' FROM one WHERE c3 IS NOT NULL AND len(list_intersect([s1, d1], [s2, d2])) = 0
+ UNION ALL SELECT *, 0, 'f' FROM one WHERE c3 IS NOT NULL AND len(list_intersect([s2, d2], [s3, d3])) = 0
+ UNION ALL SELECT s1, d1, c1, s3, d3, c3, s2, d2, c2, cnt, rid, 1, 'f' FROM one WHERE c3 IS NOT NULL AND len(list_intersect([s2, d2], [s3, d3])) = 0)"""
+    + _keys("ways", "wk", "rid, sw, kind, cnt")
+    + ", cls AS (SELECT rid, min(typed) AS least, max(typed) FILTER (sw = 0) AS own, any_value(cnt) AS cnt, any_value(kind) AS kind FROM wk GROUP BY rid)"
+)
+
+
+def _found3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = user_item_events(spark, sf_dir)
+    return motifs.motif_counts(motifs.find_sets(events, SPEC3), user_item_types(events), SPEC3)
+
+
+@query(_with(BOTH3, "SELECT min(own) AS motif, count(DISTINCT own) AS orders, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS n_loc FROM cls GROUP BY least"))
+def motifs_partial_order(spark, sf_dir):
+    """Motifs of up to three events whose order is only what shared nodes give, under the least of the totally ordered ones each stands for."""
+    ntypes, events = parse(F.col("motif"))
+    keyed = _found3(spark, sf_dir).withColumn("part", canonical(ntypes, events, "order"))
+    return keyed.groupBy("part").agg(F.min("motif").alias("motif"), F.count("*").alias("orders"), F.sum("count").alias("count"), F.sum("n_loc").alias("n_loc")).drop("part")
+
+
+@query(
+    _with(
+        BOTH3,
+        "SELECT DISTINCT own AS motif, CASE WHEN kind = 'l' THEN '1a 1b 2ab' WHEN kind = 'f' THEN '1 2a 2b' WHEN own LIKE '% % % %' THEN '1 2 3' WHEN own LIKE '% % %' THEN '1 2' ELSE '' END AS labels FROM cls",
+    )
+)
+def partial_order_labels(spark, sf_dir):
+    """Ranks and sets of the events of each motif, in the partial order of shared nodes."""
+    found = _found3(spark, sf_dir)
+    return found.select("motif", order_labels(parse(F.col("motif"))[1]).alias("labels")).select("motif", F.array_join(F.array_sort("labels"), " ").alias("labels"))
+
+
 # --- percolation at every weight ------------------------------------------
 
 _SPREAD = """ count(*) AS components, CAST(max(n) AS BIGINT) AS giant, CAST(sum(n * n) AS BIGINT) AS squares,
