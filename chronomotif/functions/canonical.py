@@ -16,8 +16,8 @@ from chronomotif.functions.partial import partial_key
 from chronomotif.functions.search import searcher
 from chronomotif.operators.subgraphs import nodes_of
 
-#: Nodes up to which permutations are tried; larger motifs are searched by :func:`_searched`.
-MOST_NODES = 5
+#: Nodes up to which permutations are tried, in expressions; larger motifs are searched by :func:`_searched`, as five nodes took eight seconds of planning a form.
+MOST_NODES = 3
 
 
 def relabelled(edges: str = "edges") -> Column:
