@@ -9,7 +9,8 @@ from chronomotif.functions.canonical import canonical, parse
 from chronomotif.functions.partial import order_labels
 from chronomotif.operators import communities, graphs, network, nullmodel, percolation
 from chronomotif.plans import motifs
-from chronomotif.registry import NETS, SETS3, TRADE, TW, UV, VALID, _modulo, _net, _trade, _with, query
+from chronomotif.plans.query import MotifQuery
+from chronomotif.registry import NAMED, NETS, SETS3, TRADE, TW, UV, VALID, _modulo, _net, _report, _trade, _with, query
 from chronomotif.sources.events import user_item_events, user_item_types
 from chronomotif.storage import saved
 
@@ -149,6 +150,37 @@ def partial_order_labels(spark, sf_dir):
     return found.select("motif", order_labels(parse(F.col("motif"))[1]).alias("labels")).select("motif", F.array_join(F.array_sort("labels"), " ").alias("labels"))
 
 
+#: Motifs of up to two events and their key in each of ten forms: the least over all orders of their nodes.
+FORMS = (
+    NAMED
+    + """, rp AS (SELECT typed AS motif, CAST(sum(cnt) AS BIGINT) AS count, string_split(regexp_extract(typed, '\\[(.*)\\]', 1), ',') AS ts,
+ regexp_extract_all(typed, '(\\d+)>', 1) AS i, regexp_extract_all(typed, '>(\\d+)', 1) AS j, regexp_extract_all(typed, ':(\\d+)', 1) AS c FROM nm WHERE c2 IS NULL OR c1 = c2 GROUP BY typed),
+ord AS (SELECT unnest([[0, 1], [1, 0], [0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS p),
+ty AS (SELECT unnest([TRUE, FALSE]) AS by_type),
+mv AS (SELECT motif, count, by_type, c, ts, i, j, [CASE WHEN by_type THEN ts[list_position(p, k)] ELSE '0' END for k in range(len(p))] AS nt, [p[CAST(x AS INT) + 1] for x in i] AS a, [p[CAST(x AS INT) + 1] for x in j] AS b
+ FROM rp JOIN ord ON len(p) = len(ts) CROSS JOIN ty),
+kinds AS (SELECT motif, count, by_type, min(nt || [a[k] || '>' || b[k] || CASE WHEN by_type THEN c[k] ELSE '1' END for k in range(1, len(a) + 1)].list_sort()) AS multigraph,
+ min(nt || [a[k] || '>' || b[k] for k in range(1, len(a) + 1)].list_distinct().list_sort()) AS digraph,
+ min(nt || [least(a[k], b[k]) || '-' || greatest(a[k], b[k]) for k in range(1, len(a) + 1)].list_distinct().list_sort()) AS graph,
+ any_value(list_sort(ts)) AS nodes, any_value(CASE WHEN by_type THEN [motif] ELSE [regexp_replace(regexp_extract(motif, '\\] (.*)', 1), ':\\d+', '', 'g'), CAST(len(ts) AS VARCHAR)] END) AS motif_form
+ FROM mv GROUP BY motif, count, by_type),
+forms AS (SELECT motif, count, by_type, unnest(['motif', 'multigraph', 'digraph', 'graph', 'nodes']) AS level, unnest([motif_form, multigraph, digraph, graph, nodes]) AS grp FROM kinds)"""
+)
+
+
+@query(_with(FORMS, "SELECT by_type, level, min(motif) AS motif, count(*) AS members, CAST(sum(count) AS BIGINT) AS count FROM forms GROUP BY by_type, level, grp"))
+def motif_groups(spark, sf_dir):
+    """Groups of the report in all ten forms: with types and without, at five levels; a group goes by its least motif."""
+    report = saved(_report(spark, sf_dir).select("motif", "count"), "report")
+    out = None
+    for by_type in (True, False):
+        for level in ("motif", "multigraph", "digraph", "graph", "nodes"):
+            rows = MotifQuery(group_by=level, group_typed=by_type).run(report).groupBy("grp").agg(F.min("motif").alias("motif"), F.count("*").alias("members"), F.sum("count").alias("count"))
+            rows = rows.select(F.lit(by_type).alias("by_type"), F.lit(level).alias("level"), "motif", "members", "count")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- percolation at every weight ------------------------------------------
 
 _SPREAD = """ count(*) AS components, CAST(max(n) AS BIGINT) AS giant, CAST(sum(n * n) AS BIGINT) AS squares,
