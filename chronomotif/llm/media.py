@@ -19,10 +19,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import materialize, share_package, table
+from chronomotif.llm.common import materialize, share_package, shuffle_partitions, table
 
 #: Samples a second, of a frame, and between frames; the range of pitches looked at.
 RATE, FRAME, HOP = 4000, 1024, 256
@@ -35,8 +36,10 @@ CUTS = (-0.35, 0.0, 0.35)
 PHASES = 4
 #: Most bits that differ in an alignment that counts, and least share of the shorter recording that it covers.
 MOST_ERROR, LEAST_OVERLAP = 0.25, 0.5
-#: A code is heavy that this share of all positions have, of so many at least: it is looked up with those after it, and dealt to so many tasks.
-HEAVY_SHARE, HEAVY_ROWS, HEAVY_AFTER, HEAVY_PARTS = 1 / 1024, 1000, 3, 16
+#: A code is heavy that this share of all positions have, of so many at least: who has it is compared in blocks, of recordings with about so many codes a side. Results don't depend on it.
+HEAVY_SHARE, HEAVY_ROWS, HEAVY_CODES = 1 / 1024, 1000, 1 << 19
+#: Codes of recordings that are compared with a query at once.
+CODES_AT_ONCE = 1 << 18
 #: Recordings that a task holds at a time.
 ROWS_AT_ONCE = 64
 
@@ -220,14 +223,118 @@ def bit_error(a: str, b: str, offset: str) -> Column:
 
 
 def _landmarks(rows: DataFrame, keep: list[str], codes_col: str) -> DataFrame:
-    """``keep``, ``at``, ``code`` and ``after`` where a code isn't the one before: ``after`` is a hash of the next such codes."""
-    i = lambda c, k: F.get(c, k)
-    starts = F.filter(F.sequence(F.lit(0), F.size(codes_col) - 1), lambda k: (k == 0) | (i(F.col(codes_col), k) != i(F.col(codes_col), k - 1)))
-    found = rows.filter(F.size(codes_col) > 0).withColumn("starts", starts)
-    found = found.withColumn("kept", F.transform("starts", lambda k: F.get(F.col(codes_col), k)))
-    return found.select(*keep, F.posexplode("starts").alias("nr", "at"), "kept").select(
-        *keep, "at", F.get("kept", F.col("nr")).alias("code"), F.xxhash64(F.slice("kept", F.col("nr") + 2, HEAVY_AFTER)).alias("after")
-    )
+    """``keep``, ``at`` and ``code`` where a code isn't the one before."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(codes_col) - 1), lambda k: _begins(codes_col, k))
+    return rows.filter(F.size(codes_col) > 0).select(*keep, F.explode(starts).alias("at"), codes_col).select(*keep, "at", F.get(codes_col, F.col("at")).alias("code"))
+
+
+def _begins(codes_col: str, k: Column) -> Column:
+    """Whether a run of codes begins at ``k``."""
+    return ~F.get(F.col(codes_col), k).eqNullSafe(F.get(F.col(codes_col), k - 1))
+
+
+def votes(a: str, b: str, offset: str) -> Column:
+    """At how many places a run of the same code begins in both, where ``a`` begins ``offset`` positions into ``b``."""
+    first, last = F.greatest(-F.col(offset), F.lit(0)), F.least(F.size(a), F.size(b) - F.col(offset)) - 1
+    both = lambda k: (F.get(a, k) == F.get(b, k + F.col(offset))) & _begins(a, k) & _begins(b, k + F.col(offset))
+    return F.when(first <= last, F.size(F.filter(F.sequence(first, last), both))).otherwise(0).cast("long")
+
+
+def _blocks(every: DataFrame, asked: DataFrame, classes: DataFrame, begun: DataFrame, heavy: DataFrame, most_error: float) -> DataFrame:
+    """What aligns where a heavy code meets: ``q, class_id, error, offset, votes``, the best of a query and a class in a block.
+
+    Of each code, who has it is dealt into parts of some :data:`HEAVY_CODES`
+    codes, and each part of the queries is compared with each of the classes,
+    in a group of its own.
+    """
+    spark = every.sparkSession
+    heavy = F.broadcast(heavy)
+    known = every.join(heavy, "code").groupBy("class_id", "code").agg(F.collect_list("at").alias("at")).join(classes.select("class_id", "codes"), "class_id")
+    known = known.filter("class_id is not null")
+    asked = asked.join(heavy, "code").groupBy("q", "phase", "code").agg(F.collect_list("at").alias("at")).join(begun, ["q", "phase"])
+    parts = lambda rows, name: rows.groupBy("code").agg(F.ceil(F.sum(F.size("codes")) / HEAVY_CODES).cast("int").alias(name))
+    parts = F.broadcast(materialize(parts(known, "known_parts").join(parts(asked, "asked_parts"), "code"), "audio-parts"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    known = known.join(parts, "code").select("code", own("class_id", "known_parts").alias("known_part"), every_part("asked_parts").alias("asked_part"), "class_id", "codes", "at")
+    asked = asked.join(parts, "code").select("code", every_part("known_parts").alias("known_part"), own("q", "asked_parts").alias("asked_part"), "q", "phase", "codes", "at")
+    key, n = ["code", "known_part", "asked_part"], shuffle_partitions(spark)
+    schema = f"q {asked.schema['q'].dataType.simpleString()}, class_id {known.schema['class_id'].dataType.simpleString()}, error double, offset double, votes long"
+    # Their number is given: a block has few bytes for the time it takes, so blocks must not be put together by bytes.
+    both = known.repartition(n, *key).groupBy(*key).cogroup(asked.repartition(n, *key).groupBy(*key))
+    return both.applyInArrow(lambda known, asked: _compared(known, asked, most_error), schema).filter("class_id <> q")
+
+
+def _matrix(codes: pa.ChunkedArray) -> np.ndarray:
+    """Arrays of codes as rows, with zeros after them."""
+    lists = codes.combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lengths), lengths.max(initial=0)), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    return out
+
+
+def _run_starts(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ones_like(codes[..., :1], bool), codes[..., 1:] != codes[..., :-1]], -1)
+
+
+def _offsets(at: np.ndarray, length: int, place: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Offsets, each with the rows of which a place meets one of ``at`` there; no row twice at an offset."""
+    step = max(CODES_AT_ONCE // (width + length), 1)
+    for begin in range(0, n_rows, step):
+        some = slice(*np.searchsorted(row, (begin, begin + step)))
+        met = np.zeros((width + length, min(step, n_rows - begin)), bool)
+        for k in at:
+            met[place[some] - k + length, row[some] - begin] = True
+        for o in np.flatnonzero(met.any(1)):
+            yield int(o) - length, begin + np.flatnonzero(met[o])
+
+
+def _compared(known: pa.Table, asked: pa.Table, most_error: float) -> pa.Table:
+    """A block: for each query and class the best alignment, over the offsets at which one of their places ``at`` meets one of the other's."""
+    known = known.take(pc.sort_indices(pc.list_value_length(known["codes"])))
+    lengths = pc.list_value_length(known["codes"]).to_numpy()
+    queries: dict = {}
+    for k, (q, phase, codes, at) in enumerate(zip(*(asked[c].to_pylist() for c in ("q", "phase", "codes", "at")), strict=True)):
+        queries.setdefault(q, (k, []))[1].append((phase, np.array(codes, np.int32).view(np.uint32), np.array(at)))
+    out, begin = [], 0
+    while begin < len(lengths):
+        # Rows are as long as the last of them; one at least, however long it is.
+        end = begin + max(int(np.searchsorted(lengths[begin:] * np.arange(1, len(lengths) - begin + 1), CODES_AT_ONCE, "right")), 1)
+        some, n = known.slice(begin, end - begin), lengths[begin:end]
+        rows = _matrix(some["codes"])
+        begun, places = _run_starts(rows), some["at"].combine_chunks()
+        place, row = places.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(places.offsets.to_numpy()))
+        for k, beginnings in queries.values():
+            best = {"error": np.full(len(n), np.inf), "far": np.zeros(len(n)), "offset": np.zeros(len(n)), "votes": np.zeros(len(n), np.int64)}
+            for phase, x, at in beginnings:
+                for offset, members in _offsets(at, len(x), place, row, *rows.shape):
+                    _at_offset(x, offset, phase, members, rows, n, begun, most_error, best)
+            hits = np.flatnonzero(best["error"] < np.inf)
+            columns = [asked["q"].take(pa.array(np.full(len(hits), k))), some["class_id"].take(pa.array(hits)), *(pa.array(best[c][hits]) for c in ("error", "offset", "votes"))]
+            out.append(pa.table(columns, names=["q", "class_id", "error", "offset", "votes"]))
+        begin = end
+    return pa.concat_tables(out) if out else pa.table({"q": asked["q"].slice(0, 0), "class_id": known["class_id"].slice(0, 0), **{c: pa.array([], t) for c, t in (("error", pa.float64()), ("offset", pa.float64()), ("votes", pa.int64()))}})
+
+
+def _at_offset(x: np.ndarray, offset: int, phase: int, members: np.ndarray, rows: np.ndarray, n: np.ndarray, begun: np.ndarray, most_error: float, best: dict) -> None:
+    """Keep in ``best`` what is better, of a query's codes ``x`` that begin ``offset`` positions into ``members`` of the rows."""
+    low = max(offset, 0)
+    overlap = np.minimum(n[members], offset + len(x)) - low
+    enough = overlap >= LEAST_OVERLAP * np.minimum(len(x), n[members])
+    members, overlap = members[enough], overlap[enough]
+    if not len(members):
+        return
+    high = low + int(overlap.max())
+    inside = np.arange(high - low) < overlap[:, None]
+    differ = rows[members, low:high] ^ x[low - offset : high - offset]
+    error, place = (np.bitwise_count(differ) * inside).sum(1, dtype=np.int64) / (32.0 * overlap), offset - phase / PHASES
+    then, far = best["error"][members], abs(place)
+    nearer = (far < best["far"][members]) | ((far == best["far"][members]) & (place < best["offset"][members]))
+    better = (error <= most_error) & ((error < then) | ((error == then) & nearer))
+    hits = members[better]
+    same = (differ[better] == 0) & inside[better] & begun[hits, low:high] & _run_starts(x)[low - offset : high - offset]
+    best["error"][hits], best["far"][hits], best["offset"][hits], best["votes"][hits] = error[better], far, place, same.sum(1)
 
 
 def align(prints: DataFrame, is_query: Column, most_error: float = MOST_ERROR) -> DataFrame:
@@ -245,9 +352,8 @@ def align(prints: DataFrame, is_query: Column, most_error: float = MOST_ERROR) -
 
     A histogram of offsets, over the places where a code of either beginning is
     met again, gives the candidates; every one is verified by its bits, however
-    few its votes, and ``best_votes`` tells those of the best. A code that very
-    many places have is met again only where the three next codes are met too
-    (:data:`HEAVY_SHARE`): copies that share such codes alone can be missed.
+    few its votes, and ``best_votes`` tells those of the best. So it is however
+    many places have a code: those that very many have are compared in blocks.
     """
     known = prints.filter("codes is not null")
     classes = known.groupBy("fingerprint_sha256").agg(
@@ -260,22 +366,20 @@ def align(prints: DataFrame, is_query: Column, most_error: float = MOST_ERROR) -
     asked = _landmarks(begun, ["q", "phase"], "codes")
     total = every.count()
     # Fewer codes than 1 / HEAVY_SHARE are heavy.
-    heavy = F.broadcast(every.groupBy("code").count().filter(F.col("count") > max(HEAVY_ROWS, int(total * HEAVY_SHARE))).select(F.col("code").alias("heavy")))
-    is_heavy = F.col("heavy").isNotNull()
-    key = F.when(is_heavy, F.col("after"))
-    part = F.pmod(F.xxhash64("class_id"), F.lit(HEAVY_PARTS)).cast("int")
-    every = every.join(heavy, F.col("code") == F.col("heavy"), "left").select("class_id", "at", "code", key.alias("more"), F.when(is_heavy, part).otherwise(0).alias("part"))
-    parts = F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))).otherwise(F.array(F.lit(0))))
-    asked = asked.join(heavy, F.col("code") == F.col("heavy"), "left").select("q", "phase", F.col("at").alias("q_at"), F.col("code").alias("q_code"), key.alias("q_more"), parts.alias("q_part"))
-    same = (F.col("code") == F.col("q_code")) & F.col("more").eqNullSafe(F.col("q_more")) & (F.col("part") == F.col("q_part"))
-    met = every.join(asked, same).filter("class_id <> q")
-    offsets = met.groupBy("q", "phase", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    both = offsets.join(begun.withColumnRenamed("codes", "q_codes"), ["q", "phase"]).join(classes.select("class_id", "codes", "members"), "class_id")
+    heavy = materialize(every.groupBy("code").count().filter(F.col("count") > max(HEAVY_ROWS, int(total * HEAVY_SHARE))).select("code"), "audio-heavy")
+    some_heavy = heavy.limit(1).count() > 0
+    light = every.join(F.broadcast(heavy), "code", "left_anti") if some_heavy else every
+    met = light.join(asked.withColumnRenamed("at", "q_at"), "code").filter("class_id <> q")
+    offsets = met.select("q", "phase", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).distinct()
+    both = offsets.join(begun.withColumnRenamed("codes", "q_codes"), ["q", "phase"]).join(classes.select("class_id", "codes"), "class_id")
     overlap = F.least(F.size("q_codes") + F.least("offset", F.lit(0)), F.size("codes") - F.greatest("offset", F.lit(0)))
     both = both.filter(overlap >= LEAST_OVERLAP * F.least(F.size("q_codes"), F.size("codes")))
     both = both.withColumn("error", bit_error("q_codes", "codes", "offset")).filter(F.col("error") <= most_error)
-    place = F.col("offset") - F.col("phase") / PHASES
-    both = both.groupBy("q", "class_id").agg(F.max("members").alias("members"), F.min(F.struct("error", F.abs(place).alias("far"), place.alias("offset"), "votes")).alias("b"))
+    both = both.withColumn("votes", votes("q_codes", "codes", "offset")).withColumn("place", F.col("offset") - F.col("phase") / PHASES)
+    both = both.select("q", "class_id", "error", F.col("place").alias("offset"), "votes")
+    if some_heavy:
+        both = both.unionByName(_blocks(every, asked, classes, begun, heavy, most_error))
+    both = both.groupBy("q", "class_id").agg(F.min(F.struct("error", F.abs("offset").alias("far"), "offset", "votes")).alias("b")).join(classes.select("class_id", "members"), "class_id")
     both = both.select("q", "class_id", "members", F.col("b.error").alias("error"), F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"))
     found = both.groupBy("q").agg(F.sum("members").alias("others"), F.min(F.struct("error", "class_id", "offset", "votes")).alias("best"))
     named = classes.select("fingerprint_sha256", "class_id", "members").join(found, F.col("class_id") == F.col("q"), "left")

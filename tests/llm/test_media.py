@@ -154,3 +154,52 @@ def test_query_finds_its_copies(spark, tmp_path):
         assert out[k]["best_class"] == -2 - k and out[k]["n_matches"] == 1 and out[k]["best_error"] < media.MOST_ERROR
     x = media.codes(media.chroma(media.resampled(*media.decode_wav(media.encode_wav(media.melody(np.float32(rows[7][1]).tolist()))))))
     assert out[7]["fingerprint_sha256"] == hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()
+
+
+def test_heavy_codes_lose_nothing(spark, monkeypatch):
+    """Recordings that share a single code, among many that have it: the same rows whether none, some or all codes are heavy, and all of the alignments where landmarks meet."""
+    rng = np.random.default_rng(9)
+    rows, known = [], {}
+    for k in range(20):
+        c = rng.integers(-(2**31), 2**31, int(rng.integers(20, 60))).astype(np.int32)
+        c[k % 5] = 7
+        if k % 3 == 0:  # a code again and again, and held
+            c[8:20:3] = 7
+            c[14:17] = 7
+        known[10 * k] = c
+        for j in range(1, 3):  # no code but the heavy one is the same
+            near = c ^ (1 << rng.integers(0, 32, len(c))).astype(np.int64).astype(np.int32)
+            near[c == 7] = 7
+            known[10 * k + j] = near[rng.integers(0, k % 5 + 1) :] if j == 2 else near
+    rows = [(i, c.tolist(), hashlib.sha256(c.tobytes()).hexdigest(), [c[1:].tolist()] if i % 20 == 0 else None) for i, c in known.items()]
+    prints = spark.createDataFrame(rows, "media_id long, codes array<int>, fingerprint_sha256 string, phases array<array<int>>")
+    asks = F.col("media_id") % 20 == 0
+
+    def starts(c):
+        return np.concatenate([[True], c[1:] != c[:-1]])
+
+    want = {}
+    for q in (i for i in known if i % 20 == 0):
+        for i, c in known.items():
+            for phase, x in enumerate((known[q], known[q][1:])) if i != q else ():
+                for o in range(-len(x) + 1, len(c)):
+                    a, b = slice(max(0, -o), min(len(x), len(c) - o)), slice(max(0, o), min(len(c), len(x) + o))
+                    n, votes = b.stop - b.start, int(((x[a] == c[b]) & starts(x)[a] & starts(c)[b]).sum())
+                    wrong = np.unpackbits((x[a] ^ c[b]).view(np.uint8)).mean() if n else 1
+                    if votes and n >= media.LEAST_OVERLAP * min(len(x), len(c)) and wrong <= media.MOST_ERROR:
+                        place = o - phase / media.PHASES
+                        want[q, i] = min(want.get((q, i), (1,)), (wrong, abs(place), place, votes))
+    assert len(want) >= 20
+    # So many blocks a code, and so few codes at once, that each is used.
+    monkeypatch.setattr(media, "HEAVY_CODES", 500, raising=False)
+    monkeypatch.setattr(media, "CODES_AT_ONCE", 300, raising=False)
+    for heavy_rows in (1000, 10, 0):
+        monkeypatch.setattr(media, "HEAVY_ROWS", heavy_rows)
+        out = {r["media_id"]: r for r in media.align(prints, asks).collect()}
+        for q in (i for i in known if i % 20 == 0):
+            mine = {i: w for (a, i), w in want.items() if a == q}
+            assert out[q]["n_matches"] == len(mine)
+            if mine:
+                best = min(mine, key=lambda i: (mine[i][0], i))
+                error, _, place, votes = mine[best]
+                assert (out[q]["best_class"], out[q]["best_offset"], out[q]["best_error"], out[q]["best_votes"]) == (best, place, error, votes)
