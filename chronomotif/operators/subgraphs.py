@@ -101,14 +101,35 @@ def valid_sets(events: DataFrame, adjacent: DataFrame, comp: DataFrame, max_size
     return described(sets, events, ranked_nodes(events, comp)).filter("valid").drop("valid")
 
 
+#: Ids that one group of a maximal subgraph's events spans at most before the groups are put together.
+CHUNK = 4_096
+
+
 def maximal_sets(events: DataFrame, comp: DataFrame, max_size: int | None = None, time_gap: int = 0) -> DataFrame:
-    """The events of every maximal subgraph, within the time window, as one set; those of up to ``max_size`` if it is given."""
-    sizes = in_window(events, time_gap).join(comp, "event_id")
-    sets = sizes.groupBy("comp").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    """The events of every maximal subgraph, within the time window, as one set; those of up to ``max_size`` if it is given.
+
+    A set's events never carry the set: its validity is found node by node, and
+    its events are gathered by stretches of ids, which are then put in order.
+    """
+    rows = in_window(events, time_gap).filter("src <> dst").select("event_id", F.struct("src", "dst", "etype").alias("edge")).join(comp, "event_id")
     if max_size:
-        sets = sets.filter(F.size("ids") <= max_size)
-    sets = sets.select(F.col("comp").alias("root"), "ids", F.lit(None).cast("long").alias("gap"))
-    return described(sets, events, ranked_nodes(events, comp)).filter("valid").drop("valid")
+        rows = rows.join(rows.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") <= max_size).select("comp"), "comp", "left_semi")
+    if time_gap:  # else every event of a maximal subgraph is there, and no place is missing
+        at = ranked_nodes(events, comp).join(rows.select("event_id", "comp"), "event_id")
+        gaps = at.groupBy("comp", "node").agg((F.max("place") - F.min("place") + 1 > F.count("*")).alias("gaps")).filter("gaps").select("comp")
+        rows = rows.join(gaps, "comp", "left_anti")
+    chunk = F.floor(F.col("event_id") / CHUNK).alias("chunk")
+    parts = rows.groupBy("comp", chunk).agg(F.array_sort(F.collect_list(F.struct("event_id", "edge"))).alias("of"))
+    parts = parts.select("comp", F.struct("chunk", F.col("of.event_id").alias("x")).alias("ids"), F.struct("chunk", F.col("of.edge").alias("x")).alias("edges"))
+    whole = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(c)), lambda p: p["x"])).alias(c)
+    return parts.groupBy(F.col("comp").alias("root")).agg(whole("ids"), whole("edges")).select("root", "ids", F.lit(None).cast("long").alias("gap"), "edges")
+
+
+def ids_text(ids: str = "ids") -> Column:
+    """An array of ids as text, a stretch at a time: a large set's ids are never all there as texts."""
+    text = lambda x: F.array_join(F.transform(x, lambda k: k.cast("string")), ",")
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / CHUNK).cast("int")), lambda k: text(F.slice(ids, k * CHUNK + 1, F.lit(CHUNK))))
+    return F.when(F.size(ids) <= CHUNK, text(F.col(ids))).otherwise(F.array_join(stretches, ","))
 
 
 def nodes_of(edges: str = "edges"):
