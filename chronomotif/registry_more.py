@@ -272,7 +272,7 @@ mx AS (SELECT comp, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)
 @query(_with(_MAXIMAL, "SELECT ids FROM mx"))
 def maximal_motifs_whole(spark, sf_dir):
     sets = motifs.find_sets(user_item_events(spark, sf_dir), motifs.MotifSpec(tw=TW, maximal=True))
-    return sets.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return sets.select(subgraphs.ids_text().alias("ids"))
 
 
 @query(_with(NAMED, f"SELECT grp, motif, count, place FROM (SELECT plain AS grp, motif, count, row_number() OVER (PARTITION BY plain ORDER BY count DESC, motif) AS place FROM ({COUNTS.replace('typed AS motif', 'plain, typed AS motif').replace('GROUP BY typed', 'GROUP BY plain, typed')})) WHERE place <= 2"))
