@@ -32,3 +32,15 @@ def test_events_of_a_maximal_subgraph_never_carry_it(spark, monkeypatch):
             want = {(r["root"], tuple(r["ids"]), tuple(r["edges"])) for r in whole.collect() if not most or len(r["ids"]) <= most}
             assert want and {(r["root"], tuple(r["ids"]), tuple(r["edges"])) for r in out.collect()} == want
             assert sorted(r["t"] for r in out.select(subgraphs.ids_text().alias("t")).collect()) == sorted(",".join(map(str, ids)) for _, ids, _ in want)
+
+
+def test_space_of_places_is_counted_within_the_bins(spark, tmp_path):
+    """An edge type's weight below the lightest edge's is outside all bins, as in the SQL."""
+    import datetime
+
+    from chronomotif.registry import location_space_m2
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(0, at, 1, "a", '{"k": 5}'), (1, at, 1, "b", '{"k": 5}'), (2, at, 2, "a", '{"k": 5}'), (3, at, 2, "a", '{"k": 5}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["motif"]: r["n"] for r in location_space_m2(spark, str(tmp_path)).collect()} == {"[0,0] 0>1:1": 1, "[0,0] 0>1:1 0>1:1": 1}
