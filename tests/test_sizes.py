@@ -44,3 +44,17 @@ def test_space_of_places_is_counted_within_the_bins(spark, tmp_path):
     rows = [(0, at, 1, "a", '{"k": 5}'), (1, at, 1, "b", '{"k": 5}'), (2, at, 2, "a", '{"k": 5}'), (3, at, 2, "a", '{"k": 5}')]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert {r["motif"]: r["n"] for r in location_space_m2(spark, str(tmp_path)).collect()} == {"[0,0] 0>1:1": 1, "[0,0] 0>1:1 0>1:1": 1}
+
+
+def test_static_keys_are_searched_once_for_an_ordered_one(spark):
+    from chronomotif.operators import network
+
+    events = _events(spark, 60, 4, 5)
+    adjacent = adjacency.within(adjacency.next_events(events), 60)
+    comp = components.maximal_subgraphs(events, 60, adjacent)
+    places = subgraphs.location_counts(subgraphs.valid_sets(events, adjacent, comp, 3))
+    out = network.static_counts(places)
+    plan = _plan(out)
+    assert "sum(cnt" in plan[plan.index("EvalPython") :]
+    want = network.untyped(places).groupBy(F.col("static").alias("motif")).agg(F.sum("cnt").alias("count"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
