@@ -58,3 +58,17 @@ def test_static_keys_are_searched_once_for_an_ordered_one(spark):
     assert "sum(cnt" in plan[plan.index("EvalPython") :]
     want = network.untyped(places).groupBy(F.col("static").alias("motif")).agg(F.sum("cnt").alias("count"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_weights_of_a_line_graph_are_rounded_before_edges_meet(spark):
+    from chronomotif.operators import graphs
+    from chronomotif.sources.nets import Graph
+
+    edges = spark.createDataFrame([(0, k, 1.0) for k in range(1, 9)] + [(1, 2, 1.0), (3, 1, 1.0)], "u long, v long, w double")
+    for directed in (False, True):
+        g = Graph.of(edges, directed)
+        out = graphs.line_graph(g, True, digits=3)
+        if not directed:
+            assert "round" not in _plan(out)
+        want = graphs.line_graph(g, True).select("e", "f", F.round("w", 3).alias("w"))
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
