@@ -72,3 +72,41 @@ def test_weights_of_a_line_graph_are_rounded_before_edges_meet(spark):
             assert "round" not in _plan(out)
         want = graphs.line_graph(g, True).select("e", "f", F.round("w", 3).alias("w"))
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _steps(edges, starts, directed):
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        if not directed:
+            near.setdefault(v, set()).add(u)
+    for s in starts:
+        at, dist = {s: 0}, 0
+        front = {s}
+        while front:
+            dist += 1
+            front = {v for u in front for v in near.get(u, ())} - at.keys()
+            at |= dict.fromkeys(front, dist)
+        yield from ((s, node, d) for node, d in at.items() if d)
+
+
+def test_many_starts_go_along_as_bits(spark, monkeypatch):
+    """Words of 64 starts, turns of starts, loose ends, both directions, and starts that go nowhere."""
+    from chronomotif.operators import graphs
+    from chronomotif.sources.nets import Graph
+
+    rng = np.random.default_rng(8)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 70, (170, 2)) if a != b} | {(500, 501), (501, 502)})
+    frame = spark.createDataFrame([(u, v, 1.0) for u, v in edges], "u long, v long, w double")
+    for directed, together in ((False, 1024), (True, 64)):
+        monkeypatch.setattr(graphs, "TOGETHER", together)
+        g = Graph.of(frame, directed, spark.createDataFrame([(900,)], "node long"))
+        nodes = [r["node"] for r in g.nodes.collect()]
+        want = sorted(_steps(edges, nodes, directed))
+        assert sorted(map(tuple, graphs.path_lengths(g, g.nodes, not directed).collect())) == want
+        counts = graphs.path_counts(g, g.nodes, not directed)
+        assert sum(r["n"] for r in counts.collect()) == len(want)
+        share = {d: sum(x[2] == d for x in want) / len(want) for d in {x[2] for x in want}}
+        assert {r["dist"]: r["share"] for r in graphs.path_distribution(counts).collect()} == share
+        each = [np.mean([x[2] for x in want if x[0] == s]) for s in {x[0] for x in want}]
+        assert abs(graphs.mean_path_length(counts).first()["mean"] - np.mean(each)) < 1e-9
