@@ -110,3 +110,18 @@ def test_many_starts_go_along_as_bits(spark, monkeypatch):
         assert {r["dist"]: r["share"] for r in graphs.path_distribution(counts).collect()} == share
         each = [np.mean([x[2] for x in want if x[0] == s]) for s in {x[0] for x in want}]
         assert abs(graphs.mean_path_length(counts).first()["mean"] - np.mean(each)) < 1e-9
+
+
+def test_drawn_paths_meet_before_a_hub_is_opened(spark, monkeypatch):
+    """Two leaves meet at their hub: no row for each of its other leaves."""
+    from chronomotif.operators import graphs
+    from chronomotif.sources.nets import Graph
+
+    frame = spark.createDataFrame([(0, k, 1.0) for k in range(1, 301)] + [(1, 301, 1.0), (301, 302, 1.0)], "u long, v long, w double")
+    made, keep = [], graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df, name="step": made.append((name, keep(df, name))) or made[-1][1])
+    drawn = graphs.drawn_betweenness(Graph.of(frame), 2, error=0.2)
+    share = {r["node"]: r["share"] for r in drawn.collect()}
+    pairs = sum(df.count() for name, df in made if name == "drawn-pairs")
+    assert sum(df.count() for name, df in made if name == "drawn-steps") < 12 * pairs
+    assert abs(share[0] - 1 + 2 / 303) < 0.2 and share[5] == 0 and share[302] == 0
