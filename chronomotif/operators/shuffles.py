@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronomotif.functions.numbering import numbered
 from chronomotif.operators.nullmodel import uniform
+from chronomotif.storage import released, saved
 
 #: Accepted swaps for each event.
 SWAPS = 10
@@ -196,29 +198,61 @@ def shuffled(events: DataFrame, node_types: DataFrame | None, kind: int, seed: i
     return (constrained_time_shuffle(events, seed) if kind == 1 else biased_time_shuffle(events, kind, seed)), node_types
 
 
+#: Edges that one task rewires, about: more are parted into blocks by colours of their ends.
+BLOCK_EDGES = 2**17
+
+
 def configuration_model(edges: DataFrame, seed: int, rounds: int = 10) -> DataFrame:
     """An undirected network (``u, v, w``) rewired at random with every node's degree kept, without loops or double edges.
 
-    A chain of rewirings, in one task as :func:`constrained_time_shuffle`.
+    A round tries as many exchanges as there are edges. Nodes get colours, new
+    ones each round, and edges whose ends have the same two colours are a block:
+    an exchange of ends of one colour between two of them gives edges of the
+    block again, so whether these are there already is known there, and blocks
+    are rewired beside each other. In a block it is a chain of exchanges.
     """
-
+    edges = saved(edges, "rewiring")
+    colours = max(1, math.ceil(math.sqrt(2 * edges.count() / BLOCK_EDGES)))
+    for r in range(rounds if colours > 1 else 1):
+        colour = lambda c, r=r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), c), F.lit(colours)).cast("int")
+        turned = colour("u") > colour("v")
+        block = edges.select("*", F.least(colour("u"), colour("v")).alias("_a"), F.greatest(colour("u"), colour("v")).alias("_b"), turned.alias("_turned"))
+        rewire = _rewiring(seed, r, 1 if colours > 1 else rounds, edges.columns)
+        before, edges = edges, saved(block.groupBy("_a", "_b").applyInPandas(rewire, edges.schema), "rewiring")
+        released(before)
+    return edges
+
+
+def _rewiring(seed: int, r: int, tries: int, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(["u", "v"]).reset_index(drop=True)
-        rng = np.random.default_rng(seed)
-        u, v = e["u"].tolist(), e["v"].tolist()
-        have = {frozenset(p) for p in zip(u, v, strict=True)}
-        for _ in range(rounds * len(u)) if len(u) > 1 else ():
-            a, b = (int(k) for k in rng.choice(len(u), 2, replace=False))
-            x, y, p, q = u[a], v[a], u[b], v[b]
-            if rng.random() < 0.5:
-                p, q = q, p
-            new = frozenset((x, q)), frozenset((p, y))
-            if x == q or p == y or new[0] == new[1] or new[0] in have or new[1] in have:
-                continue
-            have -= {frozenset((x, y)), frozenset((p, q))}
-            have |= set(new)
-            (u[a], v[a]), (u[b], v[b]) = (x, q), (p, y)
-        e["u"], e["v"] = [min(p) for p in zip(u, v, strict=True)], [max(p) for p in zip(u, v, strict=True)]
-        return e
+        e = e.sort_values(["u", "v"], kind="stable").reset_index(drop=True)
+        n, one = len(e), bool(e["_a"][0] == e["_b"][0])
+        rng = np.random.default_rng([seed, r, int(e["_a"][0]), int(e["_b"][0])])
+        nodes, at = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]), return_inverse=True)
+        turned, m = e["_turned"].to_numpy(), len(nodes)
+        # Ends of the lesser colour first; in a block of one colour any end may be.
+        x, y = np.where(turned, at[n:], at[:n]).tolist(), np.where(turned, at[:n], at[n:]).tolist()
+        key = (lambda i, j: i * m + j if i < j else j * m + i) if one else (lambda i, j: i * m + j)
+        have = {key(i, j) for i, j in zip(x, y, strict=True)}
+        left = tries * n if n > 1 else 0
+        while left:
+            size = min(left, 2**16)
+            left -= size
+            first, second = rng.integers(0, n, size), rng.integers(0, n - 1, size)
+            for a, b, turn in zip(first.tolist(), (second + (second >= first)).tolist(), (rng.random(size) < 0.5).tolist(), strict=True):
+                p, q = (y[b], x[b]) if one and turn else (x[b], y[b])
+                u, v = x[a], y[a]
+                if u == q or p == v:
+                    continue
+                new, other = key(u, q), key(p, v)
+                if new == other or new in have or other in have:
+                    continue
+                have.remove(key(u, v))
+                have.remove(key(p, q))
+                have.add(new)
+                have.add(other)
+                y[a], x[b], y[b] = q, p, v
+        e["u"], e["v"] = nodes[np.minimum(x, y)], nodes[np.maximum(x, y)]
+        return e[columns]
 
-    return edges.groupBy().applyInPandas(run, edges.schema)
+    return run

@@ -125,3 +125,25 @@ def test_drawn_paths_meet_before_a_hub_is_opened(spark, monkeypatch):
     pairs = sum(df.count() for name, df in made if name == "drawn-pairs")
     assert sum(df.count() for name, df in made if name == "drawn-steps") < 12 * pairs
     assert abs(share[0] - 1 + 2 / 303) < 0.2 and share[5] == 0 and share[302] == 0
+
+
+def test_rewiring_goes_by_blocks(spark, monkeypatch):
+    """Degrees, simple edges and weights stay where edges are many blocks; edges that no block had alone come about."""
+    from chronomotif.operators import graphs, shuffles
+    from chronomotif.sources.nets import Graph
+
+    monkeypatch.setattr(shuffles, "BLOCK_EDGES", 60)
+    rng = np.random.default_rng(2)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (300, 2)) if a != b} | {(0, k) for k in range(1, 50)})
+    frame = spark.createDataFrame([(u, v, float(k)) for k, (u, v) in enumerate(edges)], "u long, v long, w double")
+    plans, keep = [], shuffles.saved
+    monkeypatch.setattr(shuffles, "saved", lambda df, name="step": plans.append(df.groupBy("u").count()) or keep(df, name))
+    out = shuffles.configuration_model(frame, 4, rounds=6)
+    assert len(plans) == 7  # the edges, and a table for each round
+    rows = out.collect()
+    assert rows == shuffles.configuration_model(frame, 4, rounds=6).collect() or sorted(rows) == sorted(shuffles.configuration_model(frame, 4, rounds=6).collect())
+    pairs = {(r["u"], r["v"]) for r in rows}
+    assert len(pairs) == len(edges) and all(u < v for u, v in pairs) and sorted(r["w"] for r in rows) == [float(k) for k in range(len(edges))]
+    degree = lambda f: {r["node"]: r["degree"] for r in graphs.degrees(Graph.of(f)).collect()}
+    assert degree(out) == degree(frame)
+    assert len(pairs - set(edges)) > len(edges) / 3
