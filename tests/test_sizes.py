@@ -147,3 +147,24 @@ def test_rewiring_goes_by_blocks(spark, monkeypatch):
     degree = lambda f: {r["node"]: r["degree"] for r in graphs.degrees(Graph.of(f)).collect()}
     assert degree(out) == degree(frame)
     assert len(pairs - set(edges)) > len(edges) / 3
+
+
+def test_times_are_shuffled_in_groups(spark, monkeypatch):
+    """Several groups and rounds: times and edges of a type stay, no overlaps come about, and most times are elsewhere."""
+    from collections import Counter
+
+    from chronomotif.operators import shuffles
+
+    monkeypatch.setattr(shuffles, "GROUP_EVENTS", 60)
+    rng = np.random.default_rng(6)
+    rows = [(k, 40 * k, 40 * k + int(rng.integers(0, 12)), int(rng.integers(0, 9)), int(100 + rng.integers(0, 9)), int(k % 2)) for k in range(240)]
+    events = spark.createDataFrame(rows, "event_id long, start long, end long, src long, dst long, etype int")
+    groups, keep = [], shuffles._chained
+    monkeypatch.setattr(shuffles, "_chained", lambda *a: groups.append(a) or keep(*a))
+    for out in (shuffles.constrained_time_shuffle(events, 1), shuffles.biased_time_shuffle(events, 3, 1)):
+        got = out.collect()
+        assert Counter((r["start"], r["end"], r["etype"]) for r in got) == Counter((s, e, t) for _, s, e, _, _, t in rows)
+        assert Counter((r["src"], r["dst"], r["etype"]) for r in got) == Counter((a, b, t) for _, _, _, a, b, t in rows)
+        assert sum((r["start"], r["src"], r["dst"]) in {(s, a, b) for _, s, _, a, b, _ in rows} for r in got) < 80
+        assert shuffles.overlapping(out).count() == 0
+    assert len(groups) == 2 * shuffles.ROUNDS
