@@ -168,3 +168,15 @@ def test_times_are_shuffled_in_groups(spark, monkeypatch):
         assert sum((r["start"], r["src"], r["dst"]) in {(s, a, b) for _, s, _, a, b, _ in rows} for r in got) < 80
         assert shuffles.overlapping(out).count() == 0
     assert len(groups) == 2 * shuffles.ROUNDS
+
+
+def test_sketches_are_never_broadcast(spark, monkeypatch):
+    from chronomotif.operators import graphs
+    from chronomotif.sources.nets import Graph
+
+    plans, keep = [], graphs.saved
+    monkeypatch.setattr(graphs, "saved", lambda df, name="step": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    frame = spark.createDataFrame([(0, k, 1.0) for k in range(1, 6)], "u long, v long, w double")
+    assert {r["dist"]: r["pairs"] for r in graphs.neighbourhood_sizes(Graph.of(frame)).collect()} == {1: 10, 2: 20}
+    told = [plan for name, plan in plans if name == "reach" and "Join" in plan]
+    assert told and not any("Broadcast" in plan for plan in told)
